@@ -1,18 +1,46 @@
-"""From raw documents to token ids in stages; each reads what the one before wrote."""
+"""From raw documents to token ids in five stages; each reads what the one before wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linequarry.llm import language_id, mixing, sentencepiece_unigram, simhash_dedup
 from linequarry.llm.common import table, written
 from linequarry.llm.exact_dedup import drop_exact_copies
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return language_id.keep_identified(docs, language_id.fit_on_folds(docs))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return simhash_dedup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of rare sources repeat as their weight asks."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip."""
+    return sentencepiece_unigram.encoded(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mix_sources),
+    ("SentencePiece", tokenize),
+]
 
 #: SQL can't express language ID by compression, or the fingerprints.
 ORACLE_SQL = None

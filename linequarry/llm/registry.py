@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from linequarry.llm import exact_dedup
+from linequarry.llm import exact_dedup, language_id, mixing, sentencepiece_unigram, simhash_dedup
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op9_sentencepiece": sentencepiece_unigram.op9_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
