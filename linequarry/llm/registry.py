@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from linequarry.llm import exact_dedup, language_id, mixing, sentencepiece_unigram, simhash_dedup
+from linequarry.llm import exact_dedup, html_extraction, language_id, mixing, quality_rules, sentencepiece_unigram, simhash_dedup, url_filters
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_language_id": language_id.op5_language_id,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_url_filters": url_filters.op7_url_filters,
     "op9_sentencepiece": sentencepiece_unigram.op9_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_url_filters": url_filters.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
