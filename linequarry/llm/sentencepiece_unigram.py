@@ -310,7 +310,7 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (decoding gives the text back): one row per row of docs."""
     model, spark = load(path), docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
-    schema = docs.select("doc_id").schema.add("ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, round_trip boolean"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.setdefault(path, shipped.value)
