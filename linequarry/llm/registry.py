@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linequarry.llm import exact_dedup, html_extraction, language_id, mixing, quality_rules, sentencepiece_unigram, simhash_dedup, url_filters
+from linequarry.llm import exact_dedup, html_extraction, language_id, mixing, quality_rules, sentencepiece_unigram, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_suffix_array_dedup": substring_dedup.op8_suffix_array_dedup,
     "op9_sentencepiece": sentencepiece_unigram.op9_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
