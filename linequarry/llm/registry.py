@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linequarry.llm import exact_dedup, html_extraction, language_id, mixing, quality_rules, sentencepiece_unigram, simhash_dedup, substring_dedup, url_filters
+from linequarry.llm import exact_dedup, html_extraction, language_id, license_scan, mixing, quality_rules, sentencepiece_unigram, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_html_extraction": html_extraction.op4_html_extraction,
