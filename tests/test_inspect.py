@@ -1,0 +1,187 @@
+import io
+import json
+import os
+
+import pytest
+
+from linequarry import cli
+from linequarry.operators import inspect as ins
+from linequarry.plans.compat import CompatError, lower_grep, lower_patterns
+from linequarry.plans.expression import parse
+from linequarry.sources import files as src
+from linequarry.streaming import search as st
+
+KEY = ["path"]
+NINE = "\n".join(f"l{i}" for i in range(1, 10))
+
+
+def lines(df, *cols):
+    return sorted(tuple(r) for r in df.select(*(cols or ["line"])).collect())
+
+
+@pytest.mark.parametrize(
+    ("asked", "want"),
+    [({"total_count": 2}, [1, 2]), ({"skip": 3, "limit": 2}, [4, 5]), ({"range_": "2:3"}, [2, 3]), ({"start_line": 8, "limit": 5}, [8, 9]), ({"start_line": 20, "end_line": 30}, []), ({"all_": True}, list(range(1, 10))), ({"end_line": 2}, [1, 2]), ({"skip": 0, "limit": 0}, [])],
+)
+def test_window(files, asked, want):
+    assert [x[0] for x in lines(ins.window(files({"f": NINE}), KEY, **asked))] == want
+
+
+@pytest.mark.parametrize(
+    "asked",
+    [{}, {"skip": 2}, {"start_line": 0, "limit": 1}, {"end_line": 0}, {"start_line": 3, "end_line": 2}, {"skip": 1, "start_line": 2, "limit": 1}, {"range_": "2:3", "limit": 1}, {"total_count": 1, "skip": 1}, {"total_count": 1, "all_": True}, {"range_": "3:2"}, {"range_": "0:2"}, {"range_": "x"}, {"range_": "1:y"}],
+)
+def test_bad_bounds(asked):
+    with pytest.raises(ins.InspectError):
+        ins.bounds(**asked)
+
+
+def test_inspection_keeps_a_bare_cr(files):
+    assert lines(ins.window(files({"f": "a\r\nneedle\r"}), KEY, all_=True), "line", "text") == [(1, "a"), (2, "needle\r")]
+
+
+def test_reports(files):
+    r = {x.path: x for x in ins.window_reports(files({"f": "a\nb\nc", "g": ""}), KEY, range_="2:9").collect()}
+    assert r["f"].total_emitted_lines == 2 and [tuple(x) for x in r["f"].lines] == [(2, "b"), (3, "c")] and r["f"].requested.start_line == 2
+    assert r["g"].total_emitted_lines == 0 and r["g"].lines == []
+
+
+def test_mutation_is_refused():
+    ins.reject_mutation()
+    for bad in ({"replace": ""}, {"write": True}, {"in_place": True}):
+        with pytest.raises(ins.InspectError):
+            ins.reject_mutation(**bad)
+
+
+@pytest.mark.parametrize(("before", "after"), [(0, 0), (1, 3), (2, 0), (9, 9)])
+def test_context(files, before, after):
+    df, plan = files({"f": NINE.replace("l5", "l5 hit").replace("l6", "l6 hit"), "g": NINE}), parse("hit")
+    want = [(i, "match" if i in (5, 6) else "context") for i in range(1, 10) if any(h - before <= i <= h + after for h in (5, 6))]
+    assert lines(ins.context(df, KEY, plan, before=before, after=after), "line", "role") == want
+    assert lines(ins.context_in_row(df, KEY, plan, before=before, after=after), "line", "role") == want
+
+
+def test_context_flags(files):
+    df = files({"f": NINE})
+    assert [x[0] for x in lines(ins.context(df, KEY, parse("l5"), context=1, after=2))] == [4, 5, 6, 7]
+    capped = ins.context(df, KEY, parse("l"), context=1, max_hits=1)
+    assert lines(capped, "line", "role") == [(1, "match"), (2, "context")]
+
+
+def test_coalesced(spark):
+    df = spark.createDataFrame([("f", 3, 6), ("f", 1, 3), ("f", 9, 10), ("f", 7, 7), ("g", 1, 1), ("g", 3, 3)], "path string, start_line long, end_line long")
+    assert lines(ins.coalesced(df, KEY), "path", "start_line", "end_line") == [("f", 1, 7), ("f", 9, 10), ("g", 1, 1), ("g", 3, 3)]
+
+
+def test_lowering():
+    assert lower_patterns(["a.b"]) == "re:a.b"
+    assert lower_patterns(["a"], ignore_case=True) == "re:(?i)a"
+    assert lower_patterns(["a.b"], fixed_strings=True) == "lit:a.b"
+    assert lower_patterns(["a.b"], True, True) == r"re:(?i)a\.b"
+    assert lower_patterns(["a&&b", "c"], fixed_strings=True) == r"re:a\&\&b || lit:c"
+    assert lower_patterns([" lit:x "]) == "lit:x"
+    r = lower_grep(["-i", "-e", "one", "--regexp=two", "-j4", "-n", "--hidden", "--json", "src", "--", "-x"])
+    assert (r.expression, r.paths, r.threads, r.hidden, r.json) == ("re:(?i)one || re:(?i)two", ["src", "-x"], 4, True, True)
+    assert lower_grep(["needle"]).paths == ["."]
+    for bad in ([], ["-v", "x"], ["-e"], ["-i", "lit:a"], ["-F", "a || b"], [""], ["-e", "a", "-e", "b&&c"]):
+        with pytest.raises(CompatError):
+            lower_grep(bad)
+
+
+@pytest.fixture
+def tree(tmp_path):
+    for name, data in {
+        "a/one.txt": b"needle\nx", "a/b/two.txt": b"x\nneedle needle", "a/.hid.txt": b"needle", "a/_u.txt": b"needle\xff", "a/empty": b"", "a/bin": b"\0needle",
+        "a/late": b"x" * 1024 + b"\0needle", "a/skip.log": b"needle", "a/keep.log": b"needle", "a/out/deep.txt": b"needle", "a/.ignore": b"*.log\n!keep.log\n/out/\n", "c.txt": b"needle",
+    }.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(data)
+    return tmp_path
+
+
+def names(found, tree):
+    return sorted(os.path.relpath(p, tree) for p in found)
+
+
+def test_discovery(tree):
+    a = str(tree / "a")
+    assert names(src.discover([a]).paths, tree) == ["a/_u.txt", "a/b/two.txt", "a/bin", "a/empty", "a/keep.log", "a/late", "a/one.txt"]
+    assert "a/.hid.txt" in names(src.discover([a], hidden=True).paths, tree)
+    assert names(src.discover([f"{a}/skip.log"]).paths, tree) == ["a/skip.log"]
+    assert src.discover([str(tree / "missing")]).paths == []
+
+
+def test_git_rules_need_a_repository(tree):
+    (tree / "a/.gitignore").write_text("one.txt\n")
+    assert "a/one.txt" in names(src.discover([str(tree / "a")]).paths, tree)
+    (tree / ".git").mkdir()
+    assert "a/one.txt" not in names(src.discover([str(tree / "a")]).paths, tree)
+
+
+def test_symlinks(tree):
+    os.symlink(tree / "c.txt", tree / "a/link.txt")
+    os.symlink(tree / "a", tree / "a/loop")
+    assert "a/link.txt" not in names(src.discover([str(tree / "a")]).paths, tree)
+    assert "a/link.txt" in names(src.discover([str(tree / "a")], follow_symlinks=True).paths, tree)
+
+
+def test_roots(spark, tree):
+    a, b, c = str(tree / "a"), str(tree / "a/b"), str(tree / "c.txt")
+    r = src.normalise([b, a, a, c, f"{a}/one.txt", f"{a}x"])
+    assert (r.files, r.directories, r.input_roots, r.effective_roots, r.pruned_roots, r.overlap_pruned_roots) == ([c], [a, f"{a}x"], 6, 3, 3, 2)
+    frame = spark.createDataFrame([(b, False, 0), (a, False, 1), (a, False, 2), (c, True, 3), (f"{a}/one.txt", True, 4), (f"{a}x", False, 5)], "canonical string, is_file boolean, index int")
+    assert sorted(x.canonical for x in src.pruned_frame(frame).collect()) == sorted([a, c, f"{a}x"])
+
+
+def test_prepared(spark, tree):
+    p = src.Prepared(spark, [str(tree)])
+    assert p.for_search([str(tree)]).count() == 8
+    with pytest.raises(ValueError, match="roots"):
+        p.for_search(["elsewhere"])
+    with pytest.raises(ValueError, match="options"):
+        p.for_search([str(tree)], hidden=True)
+
+
+def test_text_lines(spark, tmp_path):
+    body = [f"line {i}\r" if i % 7 == 0 else f"line {i}" for i in range(1, 4001)]
+    (tmp_path / "big.txt").write_bytes("\n".join(body).encode() + b"\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = sorted((r.line, r.text) for r in src.text_lines(spark, str(tmp_path / "big.txt")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i + 1, x.rstrip("\r")) for i, x in enumerate(body)]
+
+
+def run(spark, *argv):
+    out = io.StringIO()
+    return cli.main(list(argv), spark, out), out.getvalue().splitlines()
+
+
+def test_cli(spark, tree, capsys):
+    code, out = run(spark, "matches", "needle", str(tree / "a/b"))
+    assert (code, out) == (0, [f"{tree}/a/b/two.txt:2:3:x".replace(":3:x", ":1:needle needle")])
+    code, out = run(spark, "search", "lit:needle", str(tree), "--json", "--max-hits", "1", "--emit-report", str(tree / "r/report.json"))
+    report = json.loads(out[0])
+    assert report["stats"]["matches_found"] == 6 and len(report["hits"]) == 1 and json.loads((tree / "r/report.json").read_text()) == report
+    assert run(spark, "search", "needle", str(tree), "--stats-only")[1][0] == "expression: needle"
+    assert run(spark, "-F", "-i", "NEEDLE", str(tree / "c.txt"))[1][0] == f"{tree}/c.txt:1:1:needle"
+    assert json.loads(run(spark, "explain", "re:a+")[1][0])["mode"] == "all"
+    assert run(spark, "inspect", str(tree / "a/one.txt"), "--range", "1:1")[1] == [f"{tree}/a/one.txt:1:needle"]
+    assert run(spark, "inspect", str(tree / "a/one.txt"), "--expr", "needle", "-A", "1")[1] == [f"{tree}/a/one.txt:1:match:needle", f"{tree}/a/one.txt:2:context:x"]
+    assert json.loads(run(spark, "inspect", str(tree / "a/one.txt"), "--expr", "needle", "--json")[1][0])["reports"][0]["lines"] == [{"line": 1, "role": "match", "text": "needle"}]
+    for bad in (["inspect", str(tree / "c.txt")], ["inspect", str(tree / "no"), "--all"], ["inspect", str(tree / "a/_u.txt"), "--all"], ["inspect", str(tree / "c.txt"), "--all", "-C", "1"], ["inspect", str(tree / "c.txt"), "--all", "--write"], ["search", "lit:"], ["-v", "x"]):
+        assert run(spark, *bad)[0] == 2
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("needle\nno\nx needle\n")
+    q = st.matching_lines(st.text_stream(spark, str(tmp_path / "in")), parse("needle")).writeStream.format("memory").queryName("found").start()
+    try:
+        q.processAllAvailable()
+        assert sorted((r.text, r.column) for r in spark.table("found").collect()) == [("needle", 1), ("x needle", 3)]
+    finally:
+        q.stop()
