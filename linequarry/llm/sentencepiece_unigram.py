@@ -43,7 +43,7 @@ PENALTY = 10.0
 #: Of the Zipf-Mandelbrot law, for models whose file has ranks in place of log scores.
 OFFSET = 2.7
 #: Stretches kept (cleared when more), the longest kept, stretches searched at once, and documents encoded at once.
-MEMO, MEMO_LONGEST, AT_ONCE, ROWS = 300_000, 40, 8192, 200
+MEMO, MEMO_LONGEST, AT_ONCE, ROWS = 500_000, 40, 8192, 200
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,6 +94,9 @@ def double_array(words: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarr
         kids = np.array(sorted(children[node]))
         start = low
         while True:
+            if start + 2048 + len(codes) >= len(free):
+                more = len(free) + 2048 + len(codes)
+                base, value, check, free = (np.concatenate([x, np.full(more, f, x.dtype)]) for x, f in ((base, 0), (value, -1), (check, -1), (free, True)))
             spots = start + np.flatnonzero(free[start : start + 2048])
             spots = spots[spots >= kids[0]]
             fits = free[spots[:, None] - kids[0] + kids].all(axis=1) if len(spots) else np.zeros(0, bool)
@@ -101,9 +104,6 @@ def double_array(words: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarr
                 b = int(spots[fits.argmax()] - kids[0])
                 break
             start += 2048
-            if start + 2048 + len(codes) > len(free):
-                more = len(free)
-                base, value, check, free = (np.concatenate([x, np.full(more, f, x.dtype)]) for x, f in ((base, 0), (value, -1), (check, -1), (free, True)))
         base[state] = b
         free[b + kids], check[b + kids] = False, state
         todo += [(children[node][k], b + k) for k in kids.tolist()]
@@ -113,6 +113,10 @@ def double_array(words: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarr
     return codes, base[:top], check[:top], value[:top]
 
 
+def packed(ids: tuple[int, ...]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
 class Unigram:
     """Pieces with log scores; encode() and decode()."""
 
@@ -135,11 +139,12 @@ class Unigram:
         splits = not any(re.search(f"[^{MARKER}]{MARKER}", pieces[i]) for i in usable)
         alone = "" if "\n" in self.codes else "\n"  # no piece holds it: always by itself
         self.stretches = re.compile(("\n|" if alone else "") + f"{MARKER}*[^{MARKER}{alone}]+|{MARKER}+" if splits else r"(?s:.+)").findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
         self.plain = [None if t == BYTE else "" if t == CONTROL else " ⁇ " if t == UNKNOWN else p.replace(MARKER, " ") for p, t in zip(pieces, types, strict=True)]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("stretches", "arrays")} | {"memo": {}, "pattern": self.stretches.__self__.pattern}
+        return {k: v for k, v in self.__dict__.items() if k not in ("stretches", "arrays")} | {"memo": {}, "lossy": set(), "pattern": self.stretches.__self__.pattern}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -177,8 +182,8 @@ class Unigram:
             n = i
         return tuple(reversed(out))
 
-    def best_of_many(self, stretches: list[str]) -> list[tuple[int, ...]]:
-        """best() of each, all searched at once: at each start, the trie is walked by all stretches together."""
+    def best_of_many(self, stretches: list[str]) -> list[bytes]:
+        """best() of each, packed, all searched at once: at each start, the trie is walked by all stretches together."""
         if not hasattr(self, "arrays"):
             self.arrays = np.array(self.base), np.array(self.check), np.array(self.value), np.array(self.scores), np.array(self.ids)
         base, check, value, scores, ids = self.arrays
@@ -221,37 +226,42 @@ class Unigram:
             odd |= (p < 0) & (at > 0)
             steps.append(np.where((at > 0) & (p >= 0), ids[p], -1))
             at = np.where(at > 0, start[rows, at], 0)
-        paths = np.stack(steps[::-1], axis=1)
-        lengths = (paths >= 0).sum(axis=1).tolist()
-        out: list[tuple[int, ...]] = [()] * len(order)
-        for k, path, n, by_hand in zip(order, paths.tolist(), lengths, odd.tolist(), strict=True):
-            out[k] = self.best(stretches[k]) if by_hand else tuple(path[len(path) - n :])
+        paths = np.stack(steps[::-1], axis=1).astype("<i4")
+        size, lengths, data = 4 * paths.shape[1], (4 * (paths >= 0).sum(axis=1)).tolist(), paths.tobytes()
+        out: list[bytes] = [b""] * len(order)
+        for i, (k, n, by_hand) in enumerate(zip(order, lengths, odd.tolist(), strict=True)):
+            out[k] = packed(self.best(stretches[k])) if by_hand else data[(i + 1) * size - n : (i + 1) * size]
         return out
 
-    def encode_many(self, texts: list[str | None]) -> list[list[int] | None]:
+    def encode_packed(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text as packed int32, and whether decoding gives the text back. The memo holds packed ids, so that a text's are one join."""
         prefix = MARKER if self.dummy_prefix else ""
         parts = [self.stretches(prefix + t.replace(" ", MARKER)) if t else [] for t in texts]
-        memo = self.memo
+        memo, lossy = self.memo, self.lossy
         if len(memo) >= MEMO:
             memo.clear()
-        new = list({x for p in parts for x in p}.difference(memo))
-        short = [x for x in new if len(x) <= MEMO_LONGEST]
-        own = {x: self.best(x) for x in new if len(x) > MEMO_LONGEST}
+            lossy.clear()
+        new = list(set().union(*parts).difference(memo))
+        short, long = [x for x in new if len(x) <= MEMO_LONGEST], [x for x in new if len(x) > MEMO_LONGEST]
+        for x in long:
+            memo[x] = packed(self.best(x))
         for i in range(0, len(short), AT_ONCE):
             some = short[i : i + AT_ONCE]
             memo.update(zip(some, self.best_of_many(some), strict=True))
-        out: list[list[int] | None] = []
-        for t, p in zip(texts, parts, strict=True):
-            ids: list[int] = []
-            for x in p:
-                ids += memo[x] if x in memo else own[x]
-            out.append(None if t is None else ids)
-        return out
+        # Stretches end where characters and byte runs do, so a text decodes stretch by stretch.
+        lossy.update(x for x in new if self.plainly(np.frombuffer(memo[x], "<i4").tolist()) != x.replace(MARKER, " "))
+        get = memo.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        same = [t is None or (MARKER not in t and (not lossy or lossy.isdisjoint(p))) for t, p in zip(texts, parts, strict=True)]
+        for x in long:
+            del memo[x]
+        return out, same
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return np.frombuffer(self.encode_packed([text])[0][0], "<i4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def plainly(self, ids: list[int]) -> str:
+        """The text of the ids, the first marker's space included."""
         plain = self.plain
         parts = [plain[i] for i in ids]
         if None in parts:
@@ -265,7 +275,10 @@ class Unigram:
                     run.clear()
                 whole.append(p)
             parts = [*whole, run.decode("utf-8", "replace")]
-        text = "".join(parts)
+        return "".join(parts)
+
+    def decode(self, ids: list[int]) -> str:
+        text = self.plainly(ids)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -318,12 +331,11 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 texts = part.column(1).to_pylist()
-                ids = own.encode_many(texts)
-                same = [t is None or own.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-                sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
+                ids, same = own.encode_packed(texts)
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                flat = pa.array(np.fromiter((v for x in ids if x for v in x), np.int32, int(sizes.sum())))
-                lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids]))
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([t is None for t in texts]))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
