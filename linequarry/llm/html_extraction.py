@@ -49,10 +49,42 @@ STOP_WORDS = frozenset(
 #: Thresholds: most links, least length of a good block, least stop words of a good and of a near-good block.
 LINKS, SHORT, GOOD_LENGTH, STOPS_LOW, STOPS_HIGH = 0.4, 40, 120, 0.08, 0.2
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*|[^>]*)>", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+END_OR_VALUE = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Begin, end, slash, name and attributes of each tag; no name for comments and declarations. A tag that is never closed is text."""
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith(("<!--", "<![CDATA["), at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(mark, at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif page.startswith(("<!", "<?"), at) or (m := NAME.match(page, at)):
+            first = page.find(">", at + 1)
+            if first < 0:
+                return
+            if page[at + 1] in "!?":
+                end = first + 1
+                yield at, end, "", "", ""
+            else:
+                end, k = first + 1, m.end()
+                while x := END_OR_VALUE.search(page, k):  # a quoted value may hold the sign that ends a tag
+                    if not x[1]:
+                        end = x.end()
+                        break
+                    k = page.find(x[1], x.end()) + 1
+                    if not k:
+                        break
+                yield at, end, m[1], m[2].lower(), page[m.end() : end - 1]
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 def left_out(name: str, attributes: str, inside: bool) -> bool:
     if name in SKIPPED or (name == "header" and not inside):
         return True
@@ -104,17 +136,14 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
             if links:
                 linked += len(" ".join(entities.unescape(text).split()))
 
-    m = TAG.search(page)
-    while m:
-        put(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            m = TAG.search(page, at)
-            continue
+    for begin, end, slash, name, attributes in tags(page):
+        if begin < at:
+            continue  # inside a script or the like
+        put(page[at:begin])
+        at = end
         if name == "br":
             put(" ")
-        elif m[1]:
+        elif slash:
             i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if i >= 0:
                 if name not in INLINE:
@@ -123,20 +152,21 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
                     i = -1  # an inline end tag doesn't close blocks
                 if i >= 0:
                     close(i)
-        else:
+        elif name:
             if name not in INLINE:
                 end_block()
-                if stack and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)) >= 0:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
+                if k >= 0:
                     top = stack[k][0]
                     if top == "p" or top in HEADINGS or (top == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
                         close(k)
                     elif k < len(stack) - 1 and not any(x[1] for x in stack[k + 1 :]):
                         close(k + 1)
             if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif name not in VOID and not m[3].endswith("/"):
-                skips, number = left_out(name, m[3], bool(within)), 0
+                after = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = after.end() if after else len(page)
+            elif name not in VOID and not attributes.endswith("/"):
+                skips, number = left_out(name, attributes, bool(within)), 0
                 if name in PARTS and not within and not hidden:
                     parts += 1
                     number = parts
@@ -145,7 +175,6 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
                 links += name == "a"
                 heading = heading or name in HEADINGS
                 stack.append((name, skips, number))
-        m = TAG.search(page, at)
     put(page[at:])
     end_block()
     return out
