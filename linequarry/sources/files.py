@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linequarry.functions.shipping import ship
 from linequarry.operators.lines import BINARY_PROBE
 
 
@@ -194,6 +195,7 @@ def read_contents(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def files(spark: SparkSession, paths: list[str], per_task: int = 64) -> DataFrame:
     """path, length, content of the files that can be read."""
+    ship(spark)
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
     spread = rows.repartition(max(1, -(-len(paths) // per_task)))
     return spread.mapInPandas(read_contents, "path string, length long, content binary")
