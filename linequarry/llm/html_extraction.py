@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linequarry.functions.shipping import ship
 from linequarry.llm.common import table
 
 # Element names, names of page parts, and stop words.
@@ -232,6 +233,7 @@ def extract(page: str | None) -> str:
 
 def extracted(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with text and n_chars, the main text of each row."""
+    ship(pages.sparkSession)
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linequarry.functions.shipping import ship
 from linequarry.llm.common import table
 
 #: LEVEL 6 is the first whose search is thorough enough for dictionaries of syllables; above 12 zstd drops them for short input.
@@ -88,6 +89,7 @@ def judge(text: str | None, model: tuple[tuple[str, bytes], ...], margin: float
 
 def identified(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs with lang_pred, score and rejected."""
+    ship(docs.sparkSession)
     fixed = tuple(sorted(model.items()))
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -100,6 +102,7 @@ def identified(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN)
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
+    ship(docs.sparkSession)
     fixed = tuple(sorted(model.items()))
 
     @F.pandas_udf("boolean")

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from linequarry.functions.shipping import ship
 from linequarry.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -322,6 +323,7 @@ held: dict[str, Unigram] = {}
 def encoded(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (decoding gives the text back): one row per row of docs."""
     model, spark = load(path), docs.sparkSession
+    ship(spark)
     shipped = spark.sparkContext.broadcast(model)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, round_trip boolean"
 
