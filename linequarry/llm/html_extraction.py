@@ -6,7 +6,7 @@ comments or the like) is left out with all that it holds. Every other block gets
 from its length, its link density and its stop-word density: good, bad, short or near-good.
 The second pass settles the rest: a near-good or short block takes the label of its nearest
 decided neighbours in the same part of the page (article, main, or body outside them);
-where they disagree the nearer one counts, good at a tie; where there is none, the page's
+where they disagree the nearer one counts, good at a tie; where there is one, it counts; where there is none, the page's
 own structure decides: kept inside an article or main, else left out. Headings belong to
 what follows them. Inside an article nothing but link density makes a block bad.
 
@@ -218,7 +218,7 @@ def extract(page: str | None) -> str:
             elif p < 0 and n < 0:
                 kept[i] = inside or labels[i] == "near"
             elif p < 0 or n < 0:
-                kept[i] = labels[max(p, n)] == "good" and (labels[i] == "near" or inside)
+                kept[i] = labels[max(p, n)] == "good"
             elif labels[p] == labels[n]:
                 kept[i] = labels[p] == "good"
             else:

@@ -108,6 +108,7 @@ def test_two_passes_without_an_article():
     good = "This is a paragraph of the text and it is long enough to be good, for it has a lot of the words that are in any text of this kind."
     page = f"<body><div class=x><h2>Head</h2><p>{good}</p><p>Short.</p><p>{good}</p></div><div class='sidebar'>{good}</div><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>Tail</p></body>"
     assert hx.extract(page) == f"Head\n{good}\nShort.\n{good}"
+    assert hx.extract(f"<header><h1>Site</h1></header><div><h1>Title</h1><p>{good}</p><p>Ok.</p></div><div class=footer>{good}</div>") == f"Title\n{good}\nOk."
 
 
 def test_long_and_odd_pages():
