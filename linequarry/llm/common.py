@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set, else one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir where it is set, else, on one machine, one of our own, and on a cluster one in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="linequarry-")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            own = tempfile.mkdtemp(prefix="linequarry-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            at = f"file://{own}"
+        else:
+            at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_linequarry"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
