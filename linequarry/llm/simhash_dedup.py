@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linequarry.functions.shipping import ship
 from linequarry.llm.common import forget, table, written
 
 WORDS, SEED, DISTANCE, FAN, TILE = 4, 42, 4, 16, 2048
@@ -192,12 +193,15 @@ def bucket_forest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def link_edges(codes: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """(a, b) with b < a unsigned: edges that connect all distinct codes within the distance. codes: distinct, column code."""
+    ship(codes.sparkSession)
     key = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col("code"), lo).bitwiseAND(F.lit((1 << w) - 1)).alias("bits")) for i, (lo, w) in enumerate(blocks(distance))]
     routed = codes.select("code", F.explode(F.array(*key)).alias("k")).select("code", "k.*")
     sizes = routed.groupBy("block", "bits").agg(F.count("*").alias("n")).where("n > 1")
     # Codes are dealt to a large bucket's tiles by hash, so that no code needs to know its rank.
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    dealt = routed.join(sizes, ["block", "bits"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("code"), "tiles").cast("int"))
+    # There are as many buckets as block values: 40,960 for distance 4, whatever the number of codes.
+    bounded = sum(1 << w for _, w in blocks(distance)) <= 50_000
+    dealt = routed.join(F.broadcast(sizes) if bounded else written(sizes, "sizes"), ["block", "bits"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("code"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     dealt = dealt.select("block", "bits", "code", "tile", other).withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other")).drop("other")
     keys = ["block", "bits", "one", "two"]
@@ -225,6 +229,7 @@ def components(edges: DataFrame, at_most: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs."""
+    ship(docs.sparkSession)
     prints = written(docs.select("doc_id", fingerprints("text").alias("code")), "prints")
     codes = prints.groupBy("code").agg(F.min("doc_id").alias("least_id"))
     codes = written(codes, "codes")
