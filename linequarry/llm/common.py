@@ -37,7 +37,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

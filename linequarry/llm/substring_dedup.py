@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linequarry.functions.shipping import ship
 from linequarry.llm.common import forget, table, text_or_empty, written
 
 LENGTH, GRAM, BLOCK = 200, 50, 16
@@ -229,42 +231,51 @@ def settle(df: DataFrame, *superseded: DataFrame) -> DataFrame:
         forget(old)
     gc.collect()
     df.sparkSession._jvm.System.gc()
+    time.sleep(1)  # the cleaner works in the background
     return df
 
 
+def tabled(df: DataFrame, label: str) -> DataFrame:
+    """written(), and the shuffles that made it gone before the next begin."""
+    return settle(written(df, label))
+
+
 def more_than_one(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)
+    """The keys of more than one row, as a table: joined from there, and not from the aggregate's own shuffle, a hot key's rows can be split between tasks."""
+    return tabled(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repeated")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, crc, at): stretches of windows of LENGTH bytes that each occur elsewhere too. docs: doc_id, crc, text."""
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, crc, at): stretches of windows of LENGTH bytes that each occur elsewhere too, and the tables that this reads. docs: doc_id, crc, text."""
     of_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, crc long, at long"
     every = written(docs.mapInArrow(node_rows, f"{of_id}, core long, hull long"), "nodes")
     nodes = settle(written(every.join(more_than_one(every, "core"), "core"), "nodes"), every)
     first = F.min(F.struct("doc_id", "crc", "at"))
-    classes = written(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), first.alias("first")), "classes")
+    classes = tabled(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), first.alias("first")), "classes")
     done = nodes.join(classes.where("n > 1").select("core", "hull"), ["core", "hull"]).select(*KEY, "at")
     # Cores with several hulls, not all of them repeated, have open nodes.
     disputed = classes.groupBy("core").agg(F.count("*").alias("hulls"), F.min("n").alias("least")).where("hulls > 1 AND least = 1").select("core")
-    going = classes.join(disputed, "core").select("first.*", F.struct("first.at", "core", "hull", (F.col("n") == 1).alias("open")).alias("node"))
+    going = classes.join(tabled(disputed, "disputed"), "core").select("first.*", F.struct("first.at", "core", "hull", (F.col("n") == 1).alias("open")).alias("node"))
     by_doc = going.groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.collect_list("node").alias("nodes"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("crc") == F.col("__crc"))
     # Rows equal in both are interchangeable: each gives its nodes, which are copies of each other.
     texts = docs.join(by_doc, same).select(*KEY, "text", "nodes")
     opened = settle(written(texts.mapInArrow(fetched, f"{of_id}, core long, hull long, open boolean, bytes binary"), "open"))
-    blocks = written(opened.select("core", "hull", "at", "bytes").mapInArrow(block_rows, "core long, hull long, block int, name long"), "blocks")
-    alive = blocks.join(more_than_one(blocks, "name"), "name").groupBy("core", "hull").agg(F.collect_set("block").alias("blocks"))
+    blocks = tabled(opened.select("core", "hull", "at", "bytes").mapInArrow(block_rows, "core long, hull long, block int, name long"), "blocks")
+    alive = tabled(blocks.join(more_than_one(blocks, "name"), "name").groupBy("core", "hull").agg(F.collect_set("block").alias("blocks")), "alive")
     asked = opened.join(alive, ["core", "hull"]).select(*KEY, "at", "open", "bytes", "blocks")
     windows = settle(written(asked.mapInArrow(window_rows, f"{of_id}, open boolean, name long, more long"), "windows"), opened, blocks)
     found = windows.where("open").join(more_than_one(windows, "name", "more"), ["name", "more"]).select(*KEY, "at")
-    return done.unionByName(found)
+    return done.unionByName(found), [nodes, classes, windows]
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs."""
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", F.crc32(text_or_empty()).alias("crc"), text_or_empty().alias("text"))
-    stretches = repeated_windows(docs).groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.collect_list("at").alias("ats"))
-    stretches = settle(written(stretches, "removed"))
+    windows, tables = repeated_windows(docs)
+    stretches = windows.groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.collect_list("at").alias("ats"))
+    stretches = settle(written(stretches, "removed"), *tables)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("crc") == F.col("__crc"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return docs.join(stretches, same, "left").select("doc_id", "text", "ats").mapInArrow(verdicts, schema)
