@@ -11,13 +11,14 @@ Scanning is DataFrame expressions only. A document is cut into paragraphs: its l
 where blank lines set off several lines, those together. Words that occur in the model only
 in licences are the gate: a paragraph without any is unknown without being scored. A
 prediction is confirmed if the paragraph holds SIMILAR of the five-word shingles of one of
-the family's templates (of fewer words: the whole sequence).
+the family's templates (a template of fewer words is one shingle of its own length).
 
 Everything about a document is computed in its row, so nothing is shuffled.
 
 Defined cases: null and empty texts have no paragraphs and no licence. Repeated paragraphs
 count once, repeated rows each. Of several confirmed families license is the most probable, then
-the first by name; without any it is 'none'. An empty table gives no rows. Extra columns are
+the first by name, where those that only a template under five words confirms ('All rights
+reserved' above a licence) come after the others; without any it is 'none'. An empty table gives no rows. Extra columns are
 ignored.
 """
 
@@ -135,11 +136,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), NOT_WORD), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
 
 
-def joined(w: Column, k: int, least: int = 0) -> Column:
-    """The k-grams of an array of words; with least=1 the whole where there are fewer."""
-    last = F.greatest(F.size(w) - k, F.lit(0)) if least else F.size(w) - k
-    grams = lambda: F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) >= (1 if least else k), grams()).otherwise(F.array().cast("array<string>"))
+def joined(w: Column, k: int) -> Column:
+    """The k-grams of an array of words."""
+    grams = lambda: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+    return F.when(F.size(w) >= k, grams()).otherwise(F.array().cast("array<string>"))
 
 
 def scanned(docs: DataFrame, model: dict, confidence: float = CONFIDENCE) -> DataFrame:
@@ -147,7 +147,10 @@ def scanned(docs: DataFrame, model: dict, confidence: float = CONFIDENCE) -> Dat
     n = len(model["classes"])
     gate, features = fixed(model["gate"], "array<string>"), fixed(model["features"], "array<string>")
     weights, biases = fixed(model["weights"], "array<array<double>>"), fixed(model["biases"], "array<double>")
-    templates = fixed([[shingles(words(t)) for t in TEMPLATES[c]] for c in model["classes"][:-1]], "array<array<array<string>>>")
+    texts = [[words(t) for t in TEMPLATES[c]] for c in model["classes"][:-1]]
+    templates = fixed([[shingles(w) for w in c] for c in texts], "array<array<array<string>>>")
+    longer = fixed([[shingles(w) for w in c if len(w) >= SHINGLE] for c in texts], "array<array<array<string>>>")
+    short = sorted({len(w) for c in texts for w in c if len(w) < SHINGLE})
     classes = fixed(model["classes"], "array<string>")
     has_word = lambda p: p.rlike(r"[^\x20\x09-\x0D]")
     lines = F.split(F.col("text"), "\n")
@@ -166,8 +169,10 @@ def scanned(docs: DataFrame, model: dict, confidence: float = CONFIDENCE) -> Dat
     total = lambda x: F.aggregate(x["z"], F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(x["z"])))
     df = df.withColumn("found", F.transform("found", lambda x: F.struct(x["w"].alias("w"), F.array_position(x["z"], F.array_max(x["z"])).cast("int").alias("c"), (1 / total(x)).alias("p"))))
     df = df.withColumn("found", F.filter("found", lambda x: (x["c"] < n) & (x["p"] >= confidence)))
-    close = lambda x, s: F.array_max(F.transform(F.element_at(templates, x["c"]), lambda t: F.size(F.array_intersect(t, s)) / F.size(t)))
-    df = df.withColumn("found", F.transform("found", lambda x: F.struct((-x["p"]).alias("doubt"), F.element_at(classes, x["c"]).alias("family"), close(x, joined(x["w"], SHINGLE, 1)).alias("similarity"))))
+    close = lambda x, ts: F.coalesce(F.array_max(F.transform(F.element_at(ts, x["c"]), lambda t: F.size(F.array_intersect(t, x["s"])) / F.size(t))), F.lit(0.0))
+    held = lambda w: F.concat(joined(w, SHINGLE), *[joined(w, k) for k in short])
+    df = df.withColumn("found", F.transform("found", lambda x: F.struct(x["c"].alias("c"), x["p"].alias("p"), held(x["w"]).alias("s"))))
+    df = df.withColumn("found", F.transform("found", lambda x: F.struct((close(x, longer) < SIMILAR).alias("brief"), (-x["p"]).alias("doubt"), F.element_at(classes, x["c"]).alias("family"), close(x, templates).alias("similarity"))))
     df = df.withColumn("yes", F.array_sort(F.filter("found", lambda x: x["similarity"] >= SIMILAR)))
     names = lambda xs: F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["family"])))
     best = F.get(F.col("yes"), F.lit(0))

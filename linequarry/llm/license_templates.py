@@ -75,6 +75,7 @@ TEMPLATES = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "proprietary": [
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher.",
         "This document is confidential and proprietary and may not be copied or disclosed without prior written consent.",
     ],

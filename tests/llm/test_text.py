@@ -175,6 +175,35 @@ def test_licences(docs, model):
     assert lc.scanned(docs([]), model).count() == 0
 
 
+PLANTED = {
+    "All rights reserved.": "proprietary", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL",
+}
+
+
+def test_every_licence_line_of_the_tables(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    m = lc.train(lc.sample_prose(docs))
+    text = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+    lines = {i: [PLANTED[x] for x in t if x in PLANTED] for i, t in text.items()}
+    extra = spark.createDataFrame([(-1 - k, f"Some words before.\n{x}\nSome after.") for k, x in enumerate(PLANTED)], docs.schema)
+    lines |= {-1 - k: [c] for k, c in enumerate(PLANTED.values())}
+    got = {r.doc_id: r.families for r in lc.scanned(docs.unionByName(extra), m).collect()}
+    assert {i: got[i] for i in got if got[i] or lines[i]} == {i: sorted(set(c)) for i, c in lines.items() if c}
+
+
+def test_short_templates(docs, model):
+    """Templates under five words are found inside a line, and yield to longer ones of another family."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    texts = [
+        ("proprietary", "Copyright 2020 Some Body. All rights reserved."), ("proprietary", "ALL RIGHTS RESERVED"), ("MIT", "Get it under the MIT License"), ("MIT", "MIT License"), ("BSD", "Copyright 2020 Some Body.\nAll rights reserved.\n\n" + bsd),
+        ("none", "All seats are reserved, and rights of way closed."), ("none", "All rights of way were closed and the seats reserved."), ("none", "rights reserved"),
+    ]
+    got = {r.doc_id: r for r in lc.scanned(docs([(i, t) for i, (_, t) in enumerate(texts)]), model).collect()}
+    assert [got[i].license for i in range(len(texts))] == [c for c, _ in texts]
+    assert got[4].families == ["BSD", "proprietary"]
+
+
 def test_licence_scores_agree_with_numpy(docs, model):
     """The columns' probability of a paragraph is the model's."""
     text = "We think it is Released under the MIT License. indeed"
