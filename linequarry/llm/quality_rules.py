@@ -13,9 +13,11 @@ All of it is DataFrame expressions: split, higher-order functions, aggregates, j
 
 Defined cases: a null text has no words. Documents that fail the base rules (too few words,
 or more than half of them in repeated 3-word windows) are not kept and don't enter the
-estimates. A null language or source is a group of its own. A group of fewer than LEAST
-fitting documents has no estimate: distance is null and its documents are kept. FLOORS are
-added to the standard deviations, so constant statistics and repeated rows give no singular
+estimates. A null language or source is a group of its own. With pooled, as the query has it, a
+group of fewer than LEAST fitting documents is judged by the estimate of its whole language,
+and where that has fewer too, by that of all documents, however few, so that every fitting document
+has a distance and a verdict; without it such a group has no estimate, its distance is
+null and its documents are kept. FLOORS are added to the standard deviations, so constant statistics and repeated rows give no singular
 matrix. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -33,6 +35,8 @@ MIN_WORDS, WINDOW = 50, 3
 #: Least standard deviations, in thousandths: of log words, log mean length, log symbol rate, repeat rate.
 FLOORS = (250, 60, 250, 60)
 GROUP = ["lang", "source"]
+#: What an estimate is made of. level 0: a language and source, 1: a language, 2: all; what doesn't tell is null.
+POOL = ["level", *GROUP]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -78,11 +82,29 @@ def chi2_quantile(p: float, dof: int) -> float:
     return low
 
 
-def per_group(df: DataFrame, values: DataFrame, how: str = "inner") -> DataFrame:
-    """Joined on the group, nulls equal; Spark broadcasts values only where their size allows."""
-    values = values.select(*[F.col(g).alias(f"__{g}") for g in GROUP], *[c for c in values.columns if c not in GROUP])
-    on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in GROUP]
-    return df.join(values, on, how).drop(*[f"__{g}" for g in GROUP])
+def per_group(df: DataFrame, values: DataFrame, how: str = "inner", keys: list[str] = POOL) -> DataFrame:
+    """Joined on the keys, nulls equal; Spark broadcasts values only where their size allows."""
+    values = values.select(*[F.col(g).alias(f"__{g}") for g in keys], *[c for c in values.columns if c not in keys])
+    on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in keys]
+    return df.join(values, on, how).drop(*[f"__{g}" for g in keys])
+
+
+def placed(rows: DataFrame, pooled: bool) -> DataFrame:
+    """For each language and source the pool that judges it (null: none), and the pools that its fitting documents enter."""
+    sizes = written(rows.groupBy(*GROUP).agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")), "sizes")
+    own, few = F.col("n") >= LEAST, F.col("n") < LEAST
+    pool = lambda level, *group: F.struct(F.lit(level).alias("level"), *[c.alias(g) for g, c in zip(GROUP, group, strict=True)])
+    kinds = [sizes.schema[g].dataType for g in GROUP]
+    no = [F.lit(None).cast(k) for k in kinds]
+    groups = pool(0, F.col("lang"), F.col("source"))
+    if not pooled:
+        return sizes.select(*GROUP, F.when(own, groups).alias("judge"), F.when(own, F.array(groups)).otherwise(F.array().cast(f"array<struct<level:int,lang:{kinds[0].simpleString()},source:{kinds[1].simpleString()}>>")).alias("pools"))
+    languages = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.bool_or(few).alias("asked"))
+    wide, asked = F.col("of_lang") >= LEAST, F.col("asked")
+    everyone = F.lit(bool(languages.where(asked & ~wide).head(1)))
+    language, everything = pool(1, F.col("lang"), no[1]), pool(2, *no)
+    pools = F.filter(F.array(F.when(own, groups), F.when(asked & wide, language), F.when(everyone, everything)), lambda p: p.isNotNull())
+    return per_group(sizes, languages, keys=["lang"]).select(*GROUP, F.when(own, groups).when(wide, language).otherwise(everything).alias("judge"), pools.alias("pools"))
 
 
 def quantiles(bins: DataFrame, keys: list[str], parts: dict[str, float]) -> DataFrame:
@@ -95,11 +117,11 @@ def quantiles(bins: DataFrame, keys: list[str], parts: dict[str, float]) -> Data
 def start(rows: DataFrame) -> DataFrame:
     """Medians, and quartile distances as the diagonal of the factor."""
     parts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") / 10).alias("bin")) for i in range(DIMENSIONS)])).alias("v")
-    bins = rows.select(*GROUP, parts).groupBy(*GROUP, F.col("v.i").alias("i"), F.col("v.bin").alias("bin")).agg(F.count("*").alias("n"))
-    q = quantiles(bins, [*GROUP, "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    bins = rows.select(*POOL, parts).groupBy(*POOL, F.col("v.i").alias("i"), F.col("v.bin").alias("bin")).agg(F.count("*").alias("n"))
+    q = quantiles(bins, [*POOL, "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     of = lambda i, c: F.max(F.when(F.col("i") == i, c))
     sd = F.sqrt(F.pow((F.col("q3") - F.col("q1")) * 10 / 1.349, 2) + F.pow(F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1), 2))
-    wide = q.groupBy(*GROUP).agg(F.max("n").alias("n"), *[of(i, F.col("q2") * 10.0 + 5).alias(f"m{i}") for i in range(DIMENSIONS)], *[of(i, sd).alias(f"l{i}{i}") for i in range(DIMENSIONS)])
+    wide = q.groupBy(*POOL).agg(F.max("n").alias("n"), *[of(i, F.col("q2") * 10.0 + 5).alias(f"m{i}") for i in range(DIMENSIONS)], *[of(i, sd).alias(f"l{i}{i}") for i in range(DIMENSIONS)])
     return wide.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(DIMENSIONS) for j in range(i)])
 
 
@@ -112,20 +134,20 @@ def with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> Dat
             rest = rest - F.col(f"l{i}{j}") * F.col(f"z{j}")
         df = df.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMENSIONS)), F.col("z0") * F.col("z0"))
-    return df.withColumn("d2", d2).drop(*params.drop("n", *GROUP).columns, *[f"z{i}" for i in range(DIMENSIONS)])
+    return df.withColumn("d2", d2).drop(*params.drop("n", *POOL).columns, *[f"z{i}" for i in range(DIMENSIONS)])
 
 
 def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance (factored) of the nearest SUBSET of each group."""
+    """One concentration step: mean and covariance (factored) of the nearest SUBSET of each pool."""
     near = with_distance(rows, params).withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
-    bound = quantiles(near.groupBy(*GROUP, "bin").agg(F.count("*").alias("n")), GROUP, {"bound": SUBSET})
+    bound = quantiles(near.groupBy(*POOL, "bin").agg(F.count("*").alias("n")), POOL, {"bound": SUBSET})
     held = per_group(near, bound.drop("n")).where("bin <= bound")
     x = lambda i: F.col(f"x{i}")
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
-    sums = held.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.sum(x(i)).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(x(i) * x(j)).alias(f"s{i}{j}") for i, j in pairs])
+    sums = held.groupBy(*POOL).agg(F.count("*").alias("n"), *[F.sum(x(i)).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(x(i) * x(j)).alias(f"s{i}{j}") for i, j in pairs])
     q = chi2_quantile(SUBSET, DIMENSIONS)
     consistency = SUBSET / chi2_cdf(q, DIMENSIONS + 2)
-    df = sums.select(*GROUP, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMENSIONS)], *[f"s{i}{j}" for i, j in pairs])
+    df = sums.select(*POOL, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMENSIONS)], *[f"s{i}{j}" for i, j in pairs])
     for i, j in pairs:  # Cholesky, row by row
         v = consistency * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
         v = v + float(FLOORS[i] ** 2) if i == j else v
@@ -135,18 +157,22 @@ def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     return df.drop(*[f"s{i}{j}" for i, j in pairs])
 
 
-def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def quality(docs: DataFrame, cutoff: float = CUTOFF, pooled: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and distance (Mahalanobis, null without an estimate)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = written(counts(docs).select("*", failed.alias("base_failed"), *vector()), "counts")
-    fitting = rows.where("NOT base_failed").select(*GROUP, *[f"x{i}" for i in range(DIMENSIONS)])
-    params = written(start(fitting).where(F.col("n") >= LEAST), "estimate")
+    places = written(placed(rows, pooled), "places")
+    xs = [f"x{i}" for i in range(DIMENSIONS)]
+    fitting = per_group(rows.where("NOT base_failed").select(*GROUP, *xs), places.select(*GROUP, "pools"), keys=GROUP)
+    fitting = written(fitting.select(F.explode("pools").alias("pool"), *xs).select("pool.*", *xs), "fitting")
+    params = written(start(fitting), "estimate")
     for _ in range(STEPS):
         params = written(concentrate(fitting, params), "estimate")
+    rows = per_group(rows, places.select(*GROUP, "judge"), keys=GROUP).drop(*GROUP).select("*", "judge.*").drop("judge")
     judged = with_distance(rows, params, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(cutoff, DIMENSIONS), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.sqrt("d2").alias("distance"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents"), pooled=True)

@@ -74,6 +74,33 @@ def test_outliers(docs):
     assert all(got[1000 + i].kept and got[1000 + i].distance is None for i in range(5))
 
 
+def test_small_groups_are_judged_by_wider_ones(spark, docs, tmp_path):
+    """Sources of few documents by their language, rare and null languages by all; junk goes in each."""
+    r = random.Random(7)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(60, 400)))
+    junk = lambda: " ".join(w + "###" for w in prose().split())
+    groups = [("en", "s")] * 60 + [("en", "t")] * 5 + [("fr", "u")] * 4 + [("fr", None)] * 4 + [(None, None)] * 4
+    rows = [(i, prose(), *g) for i, g in enumerate(groups)] + [(100 + i, junk(), *g) for i, g in enumerate([("en", "t"), ("fr", "u"), ("fr", None), (None, None), ("de", "v")])]
+    docs([*rows, (200, "few words", "de", "v"), (201, None, "it", "w")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in qr.op3_quality_rules(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) + 2 and not got[200].kept and not got[201].kept
+    b = {i: counts_brute(t) for i, t, *_ in rows}
+    language = lambda g: g[0] == "en"
+    for own, of in ((lambda g: g == ("en", "s"), None), (lambda g: g == ("en", "t"), language), (lambda g: g[0] != "en", lambda g: True)):
+        of = of or own
+        pool = [i for i, _, *g in rows if of(tuple(g))]
+        want = dict(zip(pool, mcd_brute([b[i] for i in pool]), strict=True))
+        assert all(abs(got[i].distance - want[i]) < 1e-6 * max(want[i], 1) for i, _, *g in rows if own(tuple(g)))
+    assert [i for i, *_ in rows if not got[i].kept] == list(range(100, 105))
+
+
+def test_a_table_of_few_documents_is_judged_too(spark, docs, tmp_path):
+    docs([(i, " ".join(map(str, range(i, 100 + i))), "en", f"s{i}") for i in range(3)]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert all(x.kept and x.distance is not None for x in qr.op3_quality_rules(spark, str(tmp_path)).collect())
+    docs([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert qr.op3_quality_rules(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_repeated_rows_give_no_singular_matrix(docs):
     got = qr.quality(docs([(1, " ".join(map(str, range(100))), "en", "s")] * 50)).collect()
     assert len(got) == 50 and all(x.kept and x.distance < 1 for x in got)
