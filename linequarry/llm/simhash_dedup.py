@@ -23,8 +23,8 @@ these edges, each round a table in the shared folder.
 Defined cases: a null text and one without words have fingerprint zero, linked like any
 other. With 1 to 3 words the whole sequence is the one shingle. Repeated rows have equal
 fingerprints and one component. Null ids don't count as smallest; a component of null ids
-alone has a null component_id. Where an id repeats with other texts, drop_near_copies() judges
-its rows together and keeps them if any is to stay. An empty table gives no rows. Extra columns are ignored by
+alone has a null component_id. drop_near_copies() keeps one row of each component, that of least
+id and fingerprint: rows that share an id, null too, are told apart by their fingerprints. An empty table gives no rows. Extra columns are ignored by
 near_duplicates() and passed through by drop_near_copies().
 """
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,8 +227,8 @@ def components(edges: DataFrame, at_most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {at_most} rounds")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs."""
+def judged(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, code, root (of the component), component_id: one row per row of docs."""
     ship(docs.sparkSession)
     prints = written(docs.select("doc_id", fingerprints("text").alias("code")), "prints")
     codes = prints.groupBy("code").agg(F.min("doc_id").alias("least_id"))
@@ -236,26 +236,36 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     found = components(link_edges(codes.select("code"), distance))
     rooted = codes.join(found, F.col("code") == F.col("node"), "left").select("code", "least_id", F.coalesce("root", "code").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = rooted.join(least, "root").select("code", "component_id")
-    return prints.join(ids, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = rooted.join(least, "root").select("code", "root", "component_id")
+    return prints.join(ids, "code").select("doc_id", "code", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs."""
+    return judged(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one of smallest id; where rows repeat it, one of them."""
+    """docs with one row of each component, of the smallest id and then fingerprint; where rows are equal in both, one of them."""
     names = docs.columns
-    found = written(near_duplicates(docs), "components")
-    # Most rows are their component's only one, and need no join with the texts.
+    found = written(judged(docs), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_or(stays).alias("stays")).where("NOT stays").select("__gone")
-    again = found.where(stays).groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
-    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    again = written(again, "again")
+    winners = written(found.where(stays).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("code").alias("code")), "winners")
+    # Most ids have one row, which the id alone tells apart; the others need fingerprints again.
+    both = found.select("doc_id", F.lit(1).alias("n"), F.lit(0).alias("won")).unionByName(winners.select("doc_id", F.lit(0).alias("n"), F.lit(1).alias("won")))
+    fates = both.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("won").alias("won"))
+    fates = written(fates.where("won = 0 OR n > 1 OR doc_id IS NULL"), "fates")
+    ided = docs.where("doc_id IS NOT NULL")
+    rest = ided.join(fates.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(*names)
+    again = fates.where("won > 0")
     if not again.head(1):
         return rest
-    same = F.col("doc_id").eqNullSafe(F.col("__again"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("text"))
-    twice = rest.join(again, same, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return rest.join(again, same, "left_anti").select(*names).unionByName(twice.select(*names))
+    several = ided.join(again.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id IS NULL"))
+    # Aggregated before the join: rows equal in both keys are reduced where they are, and never meet in one task.
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    one = several.groupBy(F.col("doc_id").alias("__id"), fingerprints("text").alias("__code")).agg(F.max_by(row, F.struct(F.col("text").isNotNull(), F.col("text"))).alias("row"))
+    kept = one.join(winners, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__code") == F.col("code")), "left_semi")
+    return rest.unionByName(kept.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(names)]))
 
 
 def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:

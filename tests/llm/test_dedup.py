@@ -113,6 +113,20 @@ def test_near_kept_rows(docs):
     assert sorted(i for i in ids if i is not None) == sorted({k for k in roots if k is not None})
 
 
+def test_near_copies_keep_a_row_of_each_component(docs):
+    """Ids that repeat with unrelated texts, and several clean rows without an id."""
+    r = random.Random(12)
+    a, b, c, d, *clean = (prose(r, 150) for _ in range(9))
+    rows = [(7, a), (7, b), (3, c), (7, c), (9, d), (9, d), (None, d), *[(None, t) for t in clean], (None, clean[0]), (None, None), (None, ""), (5, clean[4])]
+    df = docs(rows)
+    kept = sh.drop_near_copies(df)
+    assert kept.columns == df.columns
+    want = [(7, a), (7, b), (3, c), (9, d), *[(None, t) for t in clean[:4]], (None, ""), (5, clean[4])]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(x.text for x in sh.drop_near_copies(docs([(None, a), (None, b)])).collect()) == sorted([a, b])
+    assert sh.drop_near_copies(docs([])).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_index_finds_all_pairs(seed):
     r = np.random.default_rng(seed)
