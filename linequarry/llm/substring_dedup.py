@@ -22,7 +22,7 @@ Documents are read to find anchors, to fetch the bytes of the few open nodes, an
 the results out. No step needs a group's rows in one task: counts are partial aggregates and
 joins are by equality, which Spark can split where they are skewed.
 
-Done windows have 128-bit names. Rows are told apart by doc_id and the text's CRC-32.
+Done windows have 128-bit names. Rows are told apart by doc_id and the text's 64-bit xxHash.
 
 Defined cases: a null text is empty: 0 bytes, nothing removed, the SHA-256 of nothing. Texts
 under LENGTH bytes keep all. Repeated rows are copies of each other, so all of their bytes
@@ -48,7 +48,7 @@ from linequarry.llm.common import forget, table, text_or_empty, written
 LENGTH, GRAM, BLOCK = 200, 50, 16
 #: Bytes looked at together; longer documents are cut into stretches of windows, which changes nodes but no result.
 CHUNK = 1 << 20
-KEY = ["doc_id", "crc"]
+KEY = ["doc_id", "digest"]
 
 
 @lru_cache(maxsize=1)
@@ -123,7 +123,7 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
 
 
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, crc, text) to (doc_id, crc, at, core, hull). at: first window start, then 8 bits each of the windows less one and of the last one's distance to the anchor."""
+    """(doc_id, digest, text) to (doc_id, digest, at, core, hull). at: first window start, then 8 bits each of the windows less one and of the last one's distance to the anchor."""
     import xxhash
 
     name = xxhash.xxh64_intdigest
@@ -143,7 +143,7 @@ def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, crc, text, nodes) to a row for each node with the bytes of its hull."""
+    """(doc_id, digest, text, nodes) to a row for each node with the bytes of its hull."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
@@ -178,7 +178,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, crc, at, open, bytes, blocks) to (doc_id, crc, at, open, name, more): the windows of those blocks."""
+    """(doc_id, digest, at, open, bytes, blocks) to (doc_id, digest, at, open, name, more): the windows of those blocks."""
     import xxhash
 
     name = xxhash.xxh3_128_digest
@@ -246,18 +246,18 @@ def more_than_one(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, crc, at): stretches of windows of LENGTH bytes that each occur elsewhere too, and the tables that this reads. docs: doc_id, crc, text."""
-    of_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, crc long, at long"
+    """(doc_id, digest, at): stretches of windows of LENGTH bytes that each occur elsewhere too, and the tables that this reads. docs: doc_id, digest, text."""
+    of_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, at long"
     every = written(docs.mapInArrow(node_rows, f"{of_id}, core long, hull long"), "nodes")
     nodes = settle(written(every.join(more_than_one(every, "core"), "core"), "nodes"), every)
-    first = F.min(F.struct("doc_id", "crc", "at"))
+    first = F.min(F.struct("doc_id", "digest", "at"))
     classes = tabled(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), first.alias("first")), "classes")
     done = nodes.join(classes.where("n > 1").select("core", "hull"), ["core", "hull"]).select(*KEY, "at")
     # Cores with several hulls, not all of them repeated, have open nodes.
     disputed = classes.groupBy("core").agg(F.count("*").alias("hulls"), F.min("n").alias("least")).where("hulls > 1 AND least = 1").select("core")
     going = classes.join(tabled(disputed, "disputed"), "core").select("first.*", F.struct("first.at", "core", "hull", (F.col("n") == 1).alias("open")).alias("node"))
-    by_doc = going.groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.collect_list("node").alias("nodes"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("crc") == F.col("__crc"))
+    by_doc = going.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list("node").alias("nodes"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
     # Rows equal in both are interchangeable: each gives its nodes, which are copies of each other.
     texts = docs.join(by_doc, same).select(*KEY, "text", "nodes")
     opened = settle(written(texts.mapInArrow(fetched, f"{of_id}, core long, hull long, open boolean, bytes binary"), "open"))
@@ -272,11 +272,11 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs."""
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", F.crc32(text_or_empty()).alias("crc"), text_or_empty().alias("text"))
+    docs = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
     windows, tables = repeated_windows(docs)
-    stretches = windows.groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.collect_list("at").alias("ats"))
+    stretches = windows.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list("at").alias("ats"))
     stretches = settle(written(stretches, "removed"), *tables)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("crc") == F.col("__crc"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return docs.join(stretches, same, "left").select("doc_id", "text", "ats").mapInArrow(verdicts, schema)
 

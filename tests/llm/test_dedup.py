@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -197,6 +198,20 @@ def test_repeated_strings_between_edited_copies(docs, plain):
     assert plain(ss.substring_dedup(docs(rows))) == strings_brute(rows)
 
 
+def test_texts_of_one_id_and_one_crc(docs, plain):
+    """Different texts with the same id and CRC-32 are not cut at each other's places."""
+    r = random.Random(5)
+    p, a, b, seen = prose(r, 60), prose(r, 50), prose(r, 50), {}
+    heads, tails = (lambda k: f"{p} {a} {k}"), (lambda k: f"{b} {k}")
+    some = lambda n: (f"{r.getrandbits(64):016x}" for _ in range(n))
+    for k in some(1 << 18):
+        seen[zlib.crc32(heads(k).encode())] = k
+    k = next(k for k in some(1 << 22) if zlib.crc32(tails(k).encode()) in seen)
+    one, two = heads(seen[zlib.crc32(tails(k).encode())]), tails(k)
+    rows = [(None, one), (None, two), (1, p)]
+    assert plain(ss.substring_dedup(docs(rows))) == strings_brute(rows)
+
+
 def test_repeated_strings_of_the_tables(spark, sf, plain):
     rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     assert plain(ss.op8_suffix_array_dedup(spark, sf)) == strings_brute(rows)
