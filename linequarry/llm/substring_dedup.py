@@ -1,7 +1,7 @@
-"""Suffix-array dedup: repeated 200-byte strings by distributed prefix doubling.
+"""Suffix-array dedup: repeated 200-byte strings by minimizer anchors and hash refinement.
 
-Positions are ranked by ever longer prefixes of what lies around them. In each round Spark
-groups (rank so far, name of the longer string) pairs over all documents; a position whose
+This stands in place of prefix doubling over rank pairs. Positions are grouped by ever longer
+strings around them. In each round Spark groups (rank so far, name of the longer string) pairs over all documents; a position whose
 string is unique leaves, and one whose string has reached the threshold and still has a
 partner is done. Only equality of ranks matters here, so a rank is the group's name (a hash
 of its bytes) in place of its ordinal.
