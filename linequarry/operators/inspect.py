@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linequarry.operators.lines import lines
-from linequarry.operators.search import hits
+from linequarry.operators.lines import chomped, line_array
+from linequarry.operators.search import hits, scanned
 from linequarry.plans.expression import Plan
 
 
@@ -24,11 +24,14 @@ class Bounds:
     limit: int | None
     allow_full: bool
 
-    def holds(self, line: Column) -> Column:
-        test = line >= self.start_line
-        if self.end_line is not None:
-            test = test & (line <= self.end_line)
-        return test if self.limit is None else test & (line < self.start_line + self.limit)
+    def cut(self, lines: Column) -> Column:
+        """The part of an array of lines that lies within."""
+        most = 2**31 - 1  # of an array
+        ends = [] if self.limit is None else [self.start_line + self.limit - 1]
+        ends += [] if self.end_line is None else [self.end_line]
+        if self.start_line > most:
+            return F.slice(lines, 1, 0)
+        return F.slice(lines, self.start_line, min(min(ends, default=most) - self.start_line + 1, most))
 
 
 def parse_range(value: str) -> tuple[int, int]:
@@ -70,26 +73,31 @@ def reject_mutation(replace: str | None = None, write: bool = False, in_place: b
         raise InspectError("inspection is read-only")
 
 
+def inspected(text: str) -> Column:
+    """The lines of a file as inspection reads them: a "\\r" goes only as part of "\\r\\n", and binary files are read too."""
+    return line_array(F.col(text), "\r?\n")
+
+
 def inspected_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, line, text as inspection reads them: a "\\r" goes only as part of "\\r\\n", and binary files are read too."""
-    parts = files.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("__i", "text"), F.regexp_count(F.col(text), F.lit("\n")).alias("__ends"))
-    parts = parts.where((F.col("__i") < F.col("__ends")) | (F.col("text") != ""))
-    cr = F.col("text").endswith("\r") & (F.col("__i") < F.col("__ends"))
-    return parts.select(*keys, (F.col("__i") + 1).cast("long").alias("line"), F.when(cr, F.substring("text", F.lit(1), F.char_length("text") - 1)).otherwise(F.col("text")).alias("text"))
+    """keys, line, text of all lines of inspected()."""
+    return files.select(*keys, F.posexplode(inspected(text)).alias("__i", "text")).select(*keys, (F.col("__i") + 1).cast("long").alias("line"), "text")
 
 
 def window(files: DataFrame, keys: list[str], text: str = "text", **asked) -> DataFrame:
-    """keys, line, text of each file's lines within bounds(); none beyond its end."""
-    return inspected_lines(files, keys, text).where(bounds(**asked).holds(F.col("line")))
+    """keys, line, text of each file's lines within bounds(); none beyond its end. The array is cut before it becomes rows."""
+    b = bounds(**asked)
+    parts = files.select(*keys, F.posexplode(b.cut(inspected(text))).alias("__i", "text"))
+    return parts.select(*keys, (F.col("__i") + F.lit(b.start_line).cast("long")).alias("line"), "text")
 
 
 def window_reports(files: DataFrame, keys: list[str], text: str = "text", **asked) -> DataFrame:
-    """A row per file: keys, requested, total_emitted_lines, lines."""
+    """A row per file, made in the file's own row: keys, requested, total_emitted_lines, lines."""
     b = bounds(**asked)
-    own = window(files, keys, text, **asked).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    first = F.lit(b.start_line).cast("long")
+    rows = F.transform(b.cut(inspected(text)), lambda x, i: F.struct((i + first).alias("line"), x.alias("text")))
+    rows = F.coalesce(rows, F.array().cast("array<struct<line:bigint,text:string>>"))
     requested = F.struct(*[F.lit(getattr(b, k)).cast("boolean" if k == "allow_full" else "long").alias(k) for k in ("start_line", "end_line", "skip", "limit", "allow_full")])
-    rows = F.coalesce("lines", F.array().cast("array<struct<line:bigint,text:string>>"))
-    return files.select(*keys).join(own, keys, "left").select(*keys, requested.alias("requested"), F.size(rows).cast("long").alias("total_emitted_lines"), rows.alias("lines"))
+    return files.select(*keys, requested.alias("requested"), rows.alias("lines")).select(*keys, "requested", F.size("lines").cast("long").alias("total_emitted_lines"), "lines")
 
 
 def around(before: int | None, after: int | None, context: int | None) -> tuple[int, int]:
@@ -97,27 +105,38 @@ def around(before: int | None, after: int | None, context: int | None) -> tuple[
     return pick(before), pick(after)
 
 
-def context(files: DataFrame, keys: list[str], plan: Plan, text: str = "text", context: int | None = None, before: int | None = None, after: int | None = None, max_hits: int | None = None) -> DataFrame:
-    """keys, line, role (match or context), text: each line within reach of a match, once. A cap on hits applies first.
+def with_hits(files: DataFrame, keys: list[str], plan: Plan, text: str = "text", max_hits: int | None = None) -> DataFrame:
+    """keys, __lines, __at: the lines of each file that may have hits, and the numbers of its hits in order.
 
-    Hits name the lines they reach, and an equality join fetches those, so a file with any number of lines is no window of its own.
+    Only a cap on all hits needs more than the file's own row: then at most max_hits rows name the files, and their places, by a join.
     """
-    b, a = around(before, after, context)
-    found = hits(files, keys, plan, text, max_hits=max_hits).select(*keys, F.col("line").alias("__at"))
-    near = found.select(*keys, F.explode(F.sequence(F.greatest(F.col("__at") - b, F.lit(1)), F.col("__at") + a)).alias("line"), "__at")
-    near = near.groupBy(*keys, "line").agg(F.max(F.col("line") == F.col("__at")).alias("__match"))
-    own = lines(files, keys, text)
-    return own.join(near, [*keys, "line"]).select(*keys, "line", F.when(F.col("__match"), "match").otherwise("context").alias("role"), "text")
+    gate = plan.prefilter(F.col(text))
+    own = (scanned(files, text) if gate is None else scanned(files, text).where(gate)).select(*keys, line_array(F.col(text)).alias("__lines"))
+    if max_hits is None:
+        at = F.transform("__lines", lambda x, i: F.when(plan.predicate(chomped(x)), i + 1))
+        return own.select(*keys, "__lines", F.filter(at, lambda i: i.isNotNull()).alias("__at"))
+    found = hits(files, keys, plan, text, max_hits=max_hits)
+    return own.join(found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("__at")), keys)
 
 
-def context_in_row(files: DataFrame, keys: list[str], plan: Plan, text: str = "text", context: int | None = None, before: int | None = None, after: int | None = None) -> DataFrame:
-    """The same without a cap, by a frame over each file's lines."""
+def context(files: DataFrame, keys: list[str], plan: Plan, text: str = "text", context: int | None = None, before: int | None = None, after: int | None = None, max_hits: int | None = None) -> DataFrame:
+    """keys, line, role (match or context), text: each line within reach of a match, once. A cap on hits applies first."""
     b, a = around(before, after, context)
-    own = lines(files, keys, text, where=plan.prefilter(F.col(text))).withColumn("__hit", plan.predicate(F.col("text")))
-    # A line is kept if a match lies from `after` before it to `before` after it.
-    frame = Window.partitionBy(*keys).orderBy("line").rowsBetween(-a, b)
-    kept = own.withColumn("__near", F.max("__hit").over(frame)).where("__near")
-    return kept.select(*keys, "line", F.when(F.col("__hit"), "match").otherwise("context").alias("role"), "text")
+    df = with_hits(files, keys, plan, text, max_hits)
+    reach = lambda x: F.sequence(F.greatest(x - b, F.lit(1)), F.least(x + a, F.size("__lines")))
+    near = F.flatten(F.transform("__at", lambda x: F.transform(reach(x), lambda i: F.struct(i.alias("line"), (i != x).alias("context")))))
+    df = df.select(*keys, "__lines", F.sort_array(near).alias("__near"))
+    # Of a line's entries the first says whether it is a match itself.
+    once = F.filter("__near", lambda e, i: (i == 0) | (F.get(F.col("__near"), i - 1)["line"] != e["line"]))
+    role = lambda e: F.when(e["context"], "context").otherwise("match")
+    line = lambda e: plan.shown(chomped(F.element_at("__lines", e["line"])))
+    rows = F.transform(once, lambda e: F.struct(e["line"].cast("long").alias("line"), role(e).alias("role"), line(e).alias("text")))
+    return df.select(*keys, F.explode(rows).alias("__row")).select(*keys, "__row.*")
+
+
+def context_in_row(files: DataFrame, keys: list[str], plan: Plan, text: str = "text", context_: int | None = None, before: int | None = None, after: int | None = None) -> DataFrame:
+    """context() without a cap, which is all made in each file's row."""
+    return context(files, keys, plan, text, context_, before, after)
 
 
 def coalesced(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,9 +149,13 @@ def coalesced(ranges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def context_ranges(files: DataFrame, keys: list[str], plan: Plan, text: str = "text", before: int = 0, after: int = 0) -> DataFrame:
-    """The coalesced ranges of lines that context() reads."""
-    found = hits(files, keys, plan, text)
-    return coalesced(found.select(*keys, F.greatest(F.col("line") - before, F.lit(1)).alias("start_line"), (F.col("line") + after).alias("end_line")), keys)
+    """The coalesced ranges of lines that context() reads: as coalesced(), in each file's row."""
+    df = with_hits(files, keys, plan, text).select(*keys, "__at")
+    gap = lambda x, y: y - before > x + after + 1
+    begins = F.filter("__at", lambda x, i: F.coalesce(gap(F.get(F.col("__at"), i - 1), x), F.lit(True)))
+    ends = F.filter("__at", lambda x, i: F.coalesce(gap(x, F.get(F.col("__at"), i + 1)), F.lit(True)))
+    both = F.zip_with(begins, ends, lambda x, y: F.struct(F.greatest(x - before, F.lit(1)).cast("long").alias("start_line"), (y + after).cast("long").alias("end_line")))
+    return df.select(*keys, F.explode(both).alias("__r")).select(*keys, "__r.*")
 
 
 def context_reports(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,11 +19,10 @@ def text_is_binary(text: Column) -> Column:
     return (at > 0) & (F.octet_length(F.substring(text, F.lit(1), at)) <= BINARY_PROBE)
 
 
-def line_array(text: Column) -> Column:
-    """The lines of a text, without their ends' "\\n"."""
-    parts = F.split(text, "\n")
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+def line_array(text: Column, end: str = "\n") -> Column:
+    """The lines of a text, without what ends them (a pattern). Linear in the text: it is split once and the empty last part sliced off."""
+    parts = F.split(text, end)
+    return F.when(text.endswith("\n") | (text == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def chomped(line: Column) -> Column:
@@ -35,18 +34,18 @@ def lines(files: DataFrame, keys: list[str], text: str = "text", where: Column |
     kept = ~text_is_binary(F.col(text))
     if where is not None:
         kept = kept & where
-    # The last part counts unless it is empty; testing that per row is cheaper than building a second array.
-    out = files.where(kept).select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("__i", "__text"), F.regexp_count(F.col(text), F.lit("\n")).alias("__ends"))
-    out = out.where((F.col("__i") < F.col("__ends")) | (F.col("__text") != ""))
+    # Only the keys stand beside the generator: whatever else of the file a later step read would be copied to every line.
+    out = files.where(kept).select(*keys, F.posexplode(line_array(F.col(text))).alias("__i", "__text"))
     value = F.col("__text") if keep_cr else chomped(F.col("__text"))
     return out.select(*keys, (F.col("__i") + 1).cast("long").alias("line"), value.alias("text"))
 
 
 def line_profile(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Of each file: lines, bytes in lines, longest line."""
-    own = lines(files, keys, text, keep_cr=True)
-    n = F.octet_length("text").cast("long")
-    return own.groupBy(*keys).agg(F.count("*").alias("line_count"), F.sum(n).alias("line_bytes"), F.max(n).alias("longest_line"))
+    """Of each file with lines: lines, bytes in lines, longest line, in its own row and without a shuffle."""
+    kept = files.where(~text_is_binary(F.col(text))).where(F.col(text) != "")
+    sizes = kept.select(*keys, F.transform(line_array(F.col(text)), lambda x: F.octet_length(x).cast("long")).alias("__sizes"))
+    total = F.aggregate("__sizes", F.lit(0).cast("long"), lambda a, n: a + n)
+    return sizes.select(*keys, F.size("__sizes").cast("long").alias("line_count"), total.alias("line_bytes"), F.array_max("__sizes").alias("longest_line"))
 
 
 def size_tiers(files: DataFrame, text: str = "text") -> DataFrame:

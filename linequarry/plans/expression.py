@@ -3,13 +3,14 @@
 An expression is one predicate, or several joined by && (all) or || (any). If it holds ||
 anywhere, only || splits. There are no parentheses, no negation and no escapes. A predicate
 is re:, prefix:, suffix: or lit: with a value, or bare text, which is a literal. Everything
-is matched on bytes.
+is matched on bytes: lines are text, or, for a plan on_bytes(), one character for each byte,
+which needn't be valid UTF-8.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def byte_view(column: Column) -> Column:
     return F.decode(F.encode(column, "UTF-8"), "ISO-8859-1")
 
 
+def shown(column: Column) -> Column:
+    """What a byte view stands for, as text: invalid bytes replaced."""
+    return F.make_valid_utf8(F.encode(column, "ISO-8859-1").cast("string"))
+
+
 def plain(value: str) -> bool:
     return bool(value) and not SPECIAL & set(value)
 
@@ -45,6 +51,7 @@ def one_width(value: str) -> bool:
 class Predicate:
     kind: str  # literal, prefix, suffix, regex
     value: str
+    raw: bool = False  # lines are byte views
 
     # --- what kind of regular expression it is
 
@@ -95,62 +102,80 @@ class Predicate:
         return rx.to_java(rx.parse(self.value))
 
     @property
-    def required(self) -> str | None:
-        """Text that every line with a match holds, if it is known and whole characters."""
+    def required_bytes(self) -> bytes | None:
+        """Bytes that every line with a match holds, if they are known."""
         if self.kind != "regex":
-            return self.value
+            return self.value.encode()
         if self.word_bounded:
-            return None if self.fold else self.core[2:-2]
-        literal = rx.required_literal(rx.parse(self.value))
+            return None if self.fold else self.core[2:-2].encode()
+        return rx.required_literal(rx.parse(self.value))
+
+    @property
+    def required(self) -> str | None:
+        """The same as text, if it is whole characters."""
         try:
-            return literal.decode() if literal else None
+            return self.required_bytes.decode() if self.required_bytes else None
         except UnicodeDecodeError:
             return None
 
+    def gate(self, text: Column) -> Column | None:
+        """Whether text holds what a match requires; None if that isn't known."""
+        if self.raw:
+            return text.contains(F.lit(self.required_bytes.decode("latin-1"))) if self.required_bytes else None
+        return text.contains(F.lit(self.required)) if self.required else None
+
     @property
     def ascii(self) -> bool:
         return self.value.isascii() and (self.kind != "regex" or self.word_bounded or rx.is_ascii(rx.parse(self.value)))
 
     # --- columns
 
+    def held(self, value: str) -> str:
+        """A value as the lines spell it."""
+        return value.encode().decode("latin-1") if self.raw else value
+
+    def view(self, line: Column) -> Column:
+        """A line as the regular expression reads it."""
+        return line if self.raw or self.ascii else byte_view(line)
+
+    def n_bytes(self, line: Column) -> Column:
+        return (F.char_length(line) if self.raw else F.octet_length(line)).cast("long")
+
     def matches(self, line: Column) -> Column:
-        """Whether a line (text, without its end) matches."""
+        """Whether a line (without its end) matches."""
         if self.kind == "literal" or self.strategy == "plain_literal":
-            return line.contains(F.lit(self.value))
+            return line.contains(F.lit(self.held(self.value)))
         if self.kind == "prefix":
-            return line.startswith(F.lit(self.value))
+            return line.startswith(F.lit(self.held(self.value)))
         if self.kind == "suffix":
-            return line.endswith(F.lit(self.value))
+            return line.endswith(F.lit(self.held(self.value)))
         if self.strategy == "literal_alternation":
             return reduce(Column.__or__, (line.contains(F.lit(p)) for p in self.core[1:-1].split("|")))
-        test = (line if self.ascii else byte_view(line)).rlike(self.java)
-        return line.contains(F.lit(self.required)) & test if self.required else test
+        test, gate = self.view(line).rlike(self.java), self.gate(line)
+        return test if gate is None else gate & test
 
     def column(self, line: Column) -> Column:
         """1-based byte place of the first match, null without one."""
-        before = lambda at: F.octet_length(F.substring(line, F.lit(1), at - 1)).cast("long") + 1
+        before = lambda at: at.cast("long") if self.raw else F.octet_length(F.substring(line, F.lit(1), at - 1)).cast("long") + 1
         if self.kind == "prefix":
             return F.when(self.matches(line), F.lit(1).cast("long"))
         if self.kind == "suffix":
-            return F.when(self.matches(line), F.octet_length(line).cast("long") - len(self.value.encode()) + 1)
+            return F.when(self.matches(line), self.n_bytes(line) - len(self.value.encode()) + 1)
         if self.kind == "literal" or self.strategy == "plain_literal":
-            at = F.instr(line, self.value)
+            at = F.instr(line, self.held(self.value))
             return F.when(at > 0, before(at))
-        if self.ascii:
-            at = F.regexp_instr(line, F.lit(self.java))
-            return F.when(at > 0, before(at))
-        at = F.regexp_instr(byte_view(line), F.lit(self.java)).cast("long")
-        return F.when(at > 0, at)
+        at = F.regexp_instr(self.view(line), F.lit(self.java))
+        return F.when(at > 0, before(at) if self.ascii else at.cast("long"))
 
     def occurrences(self, text: Column) -> Column:
         """Matches that don't overlap, leftmost first, over the whole text."""
         if self.kind == "literal" or self.strategy == "plain_literal":
             # Non-overlapping by construction: what replace() takes out, in units of the literal.
             n = len(self.value.encode())
-            return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(self.value), F.lit("")))) / n).cast("long")
+            return ((self.n_bytes(text) - self.n_bytes(F.replace(text, F.lit(self.held(self.value)), F.lit("")))) / n).cast("long")
         if self.kind in ("prefix", "suffix"):
             raise ExpressionError("prefix and suffix have lines to count, not occurrences")
-        view = text if self.ascii else byte_view(text)
+        view = self.view(text)
         if not rx.nullable(rx.parse(self.value)):
             return F.regexp_count(view, F.lit(self.java)).cast("long")
         # An empty match right after another match doesn't count.
@@ -162,7 +187,7 @@ class Predicate:
         """Of a case-folded literal, by the Unicode text's own case mapping."""
         import re
 
-        return F.regexp_count(text, F.lit("(?iu)" + re.sub(r"([^\w\s])", r"\\\1", self.core))).cast("long")
+        return F.regexp_count(shown(text) if self.raw else text, F.lit("(?iu)" + re.sub(r"([^\w\s])", r"\\\1", self.core))).cast("long")
 
 
 @dataclass(frozen=True)
@@ -171,6 +196,20 @@ class Plan:
     mode: str  # all, any
     predicates: tuple[Predicate, ...]
 
+    def on_bytes(self) -> Plan:
+        """The plan for lines that are byte views."""
+        return replace(self, predicates=tuple(replace(p, raw=True) for p in self.predicates))
+
+    @property
+    def raw(self) -> bool:
+        return any(p.raw for p in self.predicates)
+
+    def shown(self, line: Column) -> Column:
+        return shown(line) if self.raw else line
+
+    def n_bytes(self, text: Column) -> Column:
+        return self.predicates[0].n_bytes(text)
+
     def predicate(self, line: Column) -> Column:
         tests = [p.matches(line) for p in sorted(self.predicates, key=lambda p: p.kind == "regex")]  # cheap ones first
         return reduce(Column.__and__ if self.mode == "all" else Column.__or__, tests)
@@ -182,10 +221,10 @@ class Plan:
 
     def prefilter(self, text: Column) -> Column | None:
         """A sound test of a whole file's text: false only if no line can match. None if there is no cheap one."""
-        held = [p.required for p in self.predicates]
-        tests = [text.contains(F.lit(x)) for x in held if x]
+        gates = [p.gate(text) for p in self.predicates]
+        tests = [g for g in gates if g is not None]
         if self.mode == "any":
-            return reduce(Column.__or__, tests) if all(held) else None
+            return reduce(Column.__or__, tests) if len(tests) == len(gates) else None
         return reduce(Column.__and__, tests) if tests else None
 
     @property

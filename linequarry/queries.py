@@ -133,15 +133,42 @@ by_file("matches_found_stats_only", lambda f: se.matches_found(f, DOC, parse("li
 by_file("matches_found_hits", lambda f: se.matches_found(f, DOC, parse("lit:the"), collect_hits=True), lines_of("contains(l.text, 'the')").replace("n_lines", "n_matches"))
 
 DECOMPOSED = r"\w+\s+with\s+\w+"
-DECOMPOSED_SQL = f"""WITH lines AS ({lines_sql()}),
-n AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\\w\\s+with')) AS BIGINT) AS any_, regexp_matches(text, {q(DECOMPOSED)}) AS hit,
-             CAST(len(string_split_regex(text, '\\w\\swith\\s\\w')) - 1 AS BIGINT) AS k FROM lines)
-SELECT doc_id, count(*) FILTER (hit) AS matched_lines FROM n GROUP BY doc_id"""
-by_file("decomposition_counts", lambda f: se.decomposition(f, DOC, parse("re:" + DECOMPOSED)).select("doc_id", "matched_lines"), DECOMPOSED_SQL)
-by_file("decomposition_stats", lambda f: se.decomposition_stats(f, DOC, parse("re:" + DECOMPOSED)).select("eligible", "counted", "bailed", "candidate_lines", "matched_lines"),
-        f"""WITH lines AS ({lines_sql()})
-SELECT (SELECT count(*) FROM documents) AS eligible, (SELECT count(*) FROM documents) AS counted, CAST(0 AS BIGINT) AS bailed,
-       count(*) FILTER (regexp_matches(text, {q(DECOMPOSED)})) AS candidate_lines, count(*) FILTER (regexp_matches(text, {q(DECOMPOSED)})) AS matched_lines FROM lines""")
+
+
+def decomposed_sql(source: str, key: str, word: str, most: int) -> str:
+    """Of each file: lines with the word between words are candidates, up to most; its further places on them are duplicates."""
+    lines = lines_sql(source, key)
+    return f"""WITH lines AS ({lines}),
+t AS (SELECT {key}, line, text, string_split_regex(text, '\\s+') AS w FROM lines),
+n AS (SELECT {key}, line, regexp_matches(text, '\\w+\\s+{word}\\s+\\w+') AS hit,
+             len(list_filter(range(2, len(w)), lambda i: w[i] = '{word}' AND regexp_matches(w[i - 1], '\\w$') AND regexp_matches(w[i + 1], '^\\w'))) AS k FROM t),
+c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY line) AS nth FROM n WHERE k > 0)
+SELECT f.{key}, count(c.line) FILTER (nth <= {most}) AS candidate_lines, CAST(coalesce(sum(k - 1) FILTER (nth <= {most}), 0) AS BIGINT) AS duplicates_skipped,
+       count(c.line) FILTER (hit AND nth <= {most}) AS matched_lines, count(c.line) > {most} AS bailed_out
+FROM {source} f LEFT JOIN c ON c.{key} = f.{key} GROUP BY f.{key}"""
+
+
+STATS_SQL = """SELECT count(*) AS eligible, count(*) FILTER (NOT bailed_out) AS counted, count(*) FILTER (bailed_out) AS bailed, CAST(sum(candidate_lines) AS BIGINT) AS candidate_lines,
+       CAST(sum(duplicates_skipped) AS BIGINT) AS duplicates_skipped, CAST(sum(matched_lines) AS BIGINT) AS matched_lines FROM"""
+by_file("decomposition_counts", lambda f: se.decomposition(f, DOC, parse("re:" + DECOMPOSED)).drop("n_matches"), decomposed_sql("documents", "doc_id", "with", se.BAIL_OUT))
+by_file("decomposition_stats", lambda f: se.decomposition_stats(f, DOC, parse("re:" + DECOMPOSED)), f"{STATS_SQL} ({decomposed_sql('documents', 'doc_id', 'with', se.BAIL_OUT)})")
+#: Files of 1 to 7,201 lines; those of over 4,096 candidates bail out.
+LONG_FILES = "(SELECT n_nationkey, n_name || chr(10) || repeat(n_name || ' sent with care' || chr(10) || 'with ' || n_name || ' or with it or with them' || chr(10), 150 * n_nationkey) AS text FROM nation)"
+
+
+def long_files(s: SparkSession, d: str) -> DataFrame:
+    twice = F.concat("n_name", F.lit(" sent with care\nwith "), "n_name", F.lit(" or with it or with them\n"))
+    return docs(s, d, "nation").select("n_nationkey", F.concat("n_name", F.lit("\n"), F.repeat(twice, (150 * F.col("n_nationkey")).cast("int"))).alias("text"))
+
+
+add("decomposition_bail_out", lambda s, d: se.decomposition(long_files(s, d), ["n_nationkey"], parse("re:" + DECOMPOSED)).drop("n_matches"), decomposed_sql(LONG_FILES, "n_nationkey", "with", se.BAIL_OUT))
+add("decomposition_bail_out_stats", lambda s, d: se.decomposition_stats(long_files(s, d), ["n_nationkey"], parse("re:" + DECOMPOSED)), f"{STATS_SQL} ({decomposed_sql(LONG_FILES, 'n_nationkey', 'with', se.BAIL_OUT)})")
+# Lines where there are few candidates, occurrences in files that bail out.
+add("matches_found_decomposed", lambda s, d: se.matches_found(long_files(s, d), ["n_nationkey"], parse("re:" + DECOMPOSED)),
+    f"""SELECT d.n_nationkey, CASE WHEN bailed_out THEN CAST(len(regexp_extract_all(f.text, {q(DECOMPOSED)})) AS BIGINT) ELSE matched_lines END AS n_matches
+FROM ({decomposed_sql(LONG_FILES, 'n_nationkey', 'with', se.BAIL_OUT)}) d JOIN {LONG_FILES} f ON f.n_nationkey = d.n_nationkey""")
+by_file("matches_found_generic", lambda f: se.matches_found(f, DOC, parse(r"re:[A-Z]\w+")), per_doc(found(r"[A-Z]\w+"), "n_matches"))
+by_file("matches_found_casefold", lambda f: se.matches_found(f, DOC, parse("re:(?i)für")), per_doc(found("(?i)für"), "n_matches"))
 by_file("run_stats", lambda f: se.run_stats(f, DOC, parse("lit:the")), f"""WITH lines AS ({lines_sql()})
 SELECT (SELECT count(*) FROM documents) AS files_discovered, (SELECT count(*) FROM documents) AS files_scanned, CAST(0 AS BIGINT) AS files_skipped,
        (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes_scanned, count(*) FILTER (contains(text, 'the')) AS matches_found FROM lines""")
@@ -200,12 +227,27 @@ BOTH = "(SELECT 'd/' || doc_id AS path, text FROM documents UNION ALL SELECT 'b/
 add("multi_root_dedupe", two_roots, hits_sql("contains(text, 'the')", at_literal("the"), BOTH, "path"))
 
 
+EXPRESSIONS = ["lit:the", "prefix:The", r"re:\bof\b", "re:(?i)mit", "re:(a|b)", r"re:\w+\s+Holmes\s+\w+", "re:[0-9]+", "a && b || c", " x && suffix:y. && prefix:z ", "lit:a || || re:b|c"]
+
+
 def explained(s: SparkSession, d: str) -> DataFrame:
-    exprs = ["lit:the", "prefix:The", r"re:\bof\b", "re:(?i)mit", "re:(a|b)", r"re:\w+\s+Holmes\s+\w+", "re:[0-9]+", "a && b || c"]
-    return s.createDataFrame([(e, parse(e).explain_json()) for e in exprs], "expression string, plan string")
+    return s.createDataFrame([(e, parse(e).explain_json()) for e in EXPRESSIONS[:8]], "expression string, plan string")
+
+
+def explained_predicates(s: SparkSession, d: str) -> DataFrame:
+    """A row for each predicate of each expression."""
+    rows = [(e, p.mode, i + 1, x["type"], x["value"]) for e in EXPRESSIONS for p in [parse(e)] for i, x in enumerate(p.explain()["predicates"])]
+    return s.createDataFrame(rows, "expression string, mode string, place long, type string, value string")
 
 
 add("explain_plan", explained)
+add("explain_predicates", explained_predicates, f"""WITH e(expression) AS (VALUES {', '.join(f"({q(e)})" for e in EXPRESSIONS)}),
+m AS (SELECT expression, CASE WHEN contains(expression, '||') THEN 'any' ELSE 'all' END AS mode FROM e),
+t AS (SELECT expression, mode, list_filter(list_transform(string_split(trim(expression), CASE mode WHEN 'any' THEN '||' ELSE '&&' END), lambda x: trim(x)), lambda x: x <> '') AS parts FROM m),
+p AS (SELECT expression, mode, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM t),
+k AS (SELECT *, regexp_extract(part, '^(re|prefix|suffix|lit):', 1) AS tag FROM p)
+SELECT expression, mode, place, CASE tag WHEN 're' THEN 'regex' WHEN 'lit' THEN 'literal' WHEN '' THEN 'literal' ELSE tag END AS type,
+       CASE WHEN tag = '' THEN part ELSE part[length(tag) + 2:] END AS value FROM k""")
 
 
 def entry(s: SparkSession, sf_dir: str) -> DataFrame:

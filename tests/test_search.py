@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from linequarry.operators import inspect as ins
 from linequarry.operators import lines as ln
 from linequarry.operators import search as se
 from linequarry.plans.expression import parse
@@ -115,3 +116,47 @@ def test_loop_summary(spark):
     df = spark.createDataFrame([(float(x),) for x in (5, 1, 4, 2, 3, 9)], "ms double")
     r = se.loop_summary(df).head()
     assert (r.loops, r["min"], r.mean, r.p95, r.median, r["max"]) == (6, 1.0, 4.0, 9.0, 4.0, 9.0)
+
+
+def seconds(run):
+    import time
+
+    best = 1e9
+    for _ in range(3):
+        began = time.perf_counter()
+        run()
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+def test_one_large_file_takes_time_in_proportion(spark):
+    """Hits, a window and context of one file: twice the lines, at most three times the time."""
+    took = {}
+    for n in (50_000, 100_000):
+        df = spark.createDataFrame([("f", "\n".join(f"line {i} of the file" for i in range(n)))], "path string, text string").cache()
+        df.count()
+        plan = parse("lit:5 of")
+        for name, run in {
+            "hits": lambda df=df: se.hits(df, KEY, plan).count(),
+            "window": lambda df=df: ins.window(df, KEY, all_=True).count(),
+            "context": lambda df=df: ins.context(df, KEY, plan, context=2).count(),
+            "ranges": lambda df=df: ins.context_ranges(df, KEY, plan, before=2).count(),
+        }.items():
+            took.setdefault(name, []).append(seconds(run))
+    assert all(b < 3 * max(a, 0.2) for a, b in took.values()), took
+
+
+def test_nth_value(spark):
+    df = spark.createDataFrame([(float(x),) for x in (3, 3, 3, 1, 2, 1e9, -5.5, 3.25)], "ms double")
+    ordered = sorted((3, 3, 3, 1, 2, 1e9, -5.5, 3.25))
+    assert [se.nth_value(df, "ms", k + 1) for k in range(8)] == ordered
+    assert se.loop_summary(df.where("ms > 1e10")).count() == 0
+
+
+def test_decomposition_stops_at_the_bail_out(files):
+    plan = parse(r"re:\w+\s+Holmes\s+\w+")
+    df = files({"many": "a Holmes b Holmes c\n" * 5000, "few": "a Holmes b Holmes c\nHolmes x\n"})
+    got = {r.path: r for r in se.decomposition(df, KEY, plan).collect()}
+    m, f = got["many"], got["few"]
+    assert (m.candidate_lines, m.duplicates_skipped, m.matched_lines, m.bailed_out) == (4096, 4096, 4096, True)
+    assert (f.candidate_lines, f.duplicates_skipped, f.matched_lines, f.bailed_out, f.n_matches) == (1, 1, 1, False, 1)
