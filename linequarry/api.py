@@ -6,12 +6,13 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linequarry.operators import inspect as ins
 from linequarry.operators import search as se
 from linequarry.operators.inspect import context, window
 from linequarry.plans.expression import Plan, parse
-from linequarry.sources.files import Discovered, Prepared, as_text, discover, files, path_depth
+from linequarry.sources.files import Discovered, Prepared, byte_text, depth, discover, files, found_files
 
 __all__ = ["Config", "Plan", "Report", "context", "count", "explain", "inspect_window", "parse", "prepare", "search", "search_prepared", "window"]
 
@@ -45,19 +46,38 @@ def prepare(spark: SparkSession, config: Config) -> Prepared:
     return Prepared(spark, config.roots, config.hidden, config.follow_symlinks)
 
 
+def counters(frame: DataFrame, plan: Plan) -> dict:
+    """What a count without hits tells of its one predicate's acceleration; empty for other predicates."""
+    p = plan.single
+    if p and p.strategy == "decomposed":
+        d = se.decomposition_stats(frame, KEYS, plan).head()
+        own = {"eligible_files": d.eligible, "counted_files": d.counted, "bailout_files": d.bailed, "candidate_lines_checked": d.candidate_lines, "duplicate_candidate_hits_skipped": d.duplicates_skipped, "candidate_lines_matched": d.matched_lines}
+        return {"acceleration_bailouts": d.bailed, "regex_decomposition": own}
+    if p and p.strategy == "unicode_case_fold_literal":
+        u = se.unicode_casefold_count(frame, KEYS, plan).agg(F.sum("prefix_hits").alias("a"), F.sum("n_occurrences").alias("b"), F.sum("rejected").alias("c")).head()
+        return {"unicode_casefold_prefilter": {"candidate_prefix_hits": u.a or 0, "confirmed_matches": u.b or 0, "rejected_candidates": u.c or 0}}
+    return {}
+
+
 def report(config: Config, found: Discovered, frame: DataFrame, discover_ms: float) -> Report:
-    plan, began = parse(config.expression), time.perf_counter()
-    text = as_text(frame).select("path", "text")
+    """Statistics are taken now; hits when the frame is read. Lines are searched as bytes, valid UTF-8 or not."""
+    plan, began = parse(config.expression).on_bytes(), time.perf_counter()
+    text = byte_text(frame).select("path", "text")
     counted = se.run_stats(text, KEYS, plan, collect_hits=config.collect_hits).head().asDict()
-    read = frame.count()
-    largest = se.largest_files(text, KEYS).collect()
-    roots = found.roots
+    more = {} if config.collect_hits else counters(text, plan)
+    scan_ms, began = 1000 * (time.perf_counter() - began), time.perf_counter()
+    sizes = frame.select("path", "length")
+    read = sizes.agg(F.count("*").alias("n"), F.max(depth(F.col("path"))).cast("long").alias("max_depth")).head()
+    largest = byte_text(frame).select("path", F.col("length").alias("bytes")).orderBy(F.desc("bytes"), "path").limit(5).collect()
+    roots, aggregate_ms = found.roots, 1000 * (time.perf_counter() - began)
+    n = len(found.paths) if not found.uris else read.n
     stats = {
         "input_roots": roots.input_roots, "effective_roots": roots.effective_roots, "pruned_roots": roots.pruned_roots, "overlap_pruned_roots": roots.overlap_pruned_roots, "duplicate_paths": found.duplicate_paths,
-        "files_discovered": len(found.paths), "files_scanned": counted["files_scanned"], "files_skipped": len(found.paths) - counted["files_scanned"], "files_unreadable": len(found.paths) - read,
-        "bytes_scanned": counted["bytes_scanned"], "matches_found": counted["matches_found"], "max_depth": path_depth(frame).head().max_depth or 0, "largest_files": [r.asDict() for r in largest],
-        "partitions": frame.rdd.getNumPartitions(), "timings": {"discover_ms": round(discover_ms, 3), "scan_ms": round(1000 * (time.perf_counter() - began), 3)},
-    }
+        "acceleration_bailouts": 0, "files_discovered": n, "files_scanned": counted["files_scanned"], "files_skipped": n - counted["files_scanned"], "files_unreadable": n - read.n,
+        "bytes_scanned": counted["bytes_scanned"], "matches_found": counted["matches_found"], "max_depth": read.max_depth or 0, "largest_files": [r.asDict() for r in largest],
+        "concurrency": {"partitions": frame.rdd.getNumPartitions(), "slots": frame.sparkSession.sparkContext.defaultParallelism},
+        "timings": {"discover_ms": round(discover_ms, 3), "scan_ms": round(scan_ms, 3), "aggregate_ms": round(aggregate_ms, 3), "total_ms": round(discover_ms + scan_ms + aggregate_ms, 3)},
+    } | more
     hits = None
     if config.collect_hits:
         hits = se.hits(text, KEYS, plan, max_hits=config.max_hits)
@@ -70,7 +90,7 @@ def search(spark: SparkSession, config: Config) -> Report:
     began = time.perf_counter()
     found = discover(config.roots, config.hidden, config.follow_symlinks)
     ms = 1000 * (time.perf_counter() - began)
-    return report(config, found, files(spark, found.paths).cache(), ms)
+    return report(config, found, found_files(spark, found), ms)
 
 
 def search_prepared(config: Config, prepared: Prepared) -> Report:
@@ -92,7 +112,7 @@ def count(frame: DataFrame, keys: list[str], plan: Plan, mode: str = "lines", te
 def inspect_window(spark: SparkSession, paths: list[str], **asked) -> DataFrame:
     """A report for each file; an unreadable or invalid file is an error when the frame is built."""
     ins.bounds(**asked)
-    frame = files(spark, paths).cache()
+    frame = files(spark, paths)
     if (n := frame.count()) < len(paths):
         raise ins.InspectError(f"{len(paths) - n} of the files can't be read")
     if bad := frame.where("NOT is_valid_utf8(CAST(content AS STRING))").select("path").head():

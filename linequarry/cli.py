@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from linequarry import api
 from linequarry.functions import render
 from linequarry.operators import inspect as ins
-from linequarry.operators.search import hits, run_stats
 from linequarry.plans.compat import CompatError, lower_grep
 from linequarry.plans.expression import parse
-from linequarry.sources.files import as_text, discover, files
+from linequarry.sources.files import byte_text, discover, files, found_files
 
 VERBS = ("search", "matches", "inspect", "explain")
 
@@ -58,18 +57,8 @@ def route(argv: list[str]) -> argparse.Namespace:
     return argparse.Namespace(verb="search", expr=r.expression, paths=r.paths, stats_only=False, max_hits=None, emit_report=None, hidden=r.hidden, follow_symlinks=False, json=r.json)
 
 
-def search(spark: SparkSession, expr: str, frame: DataFrame, max_hits: int | None = None, stats_only: bool = False, keys: list[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """Ordered hits (None with stats_only) and the run's statistics."""
-    plan, keys = parse(expr), keys or ["path"]
-    stats = run_stats(frame, keys, plan, collect_hits=not stats_only)
-    if stats_only:
-        return None, stats
-    found = hits(frame, keys, plan, max_hits=max_hits)
-    return (found if max_hits is not None else found.orderBy(*keys, "line", "column")), stats
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
-    out, say = out or sys.stdout, None
+    out = out or sys.stdout
     say = lambda x: print(x, file=out)
     try:
         args = route(sys.argv[1:] if argv is None else argv)
@@ -81,23 +70,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         plan = parse(args.expr) if args.expr else None
         spark = spark or SparkSession.builder.getOrCreate()
         if args.verb == "inspect":
-            return inspect(spark, args, plan, say)
-        frame = as_text(files(spark, discover(args.paths, args.hidden, args.follow_symlinks).paths)).select("path", "text").cache()
-        found, stats = search(spark, args.expr, frame, args.max_hits, args.stats_only)
-        if args.emit_report or args.json:
-            report = render.report_json(plan.source, found if found is not None else hits(frame, ["path"], plan, max_hits=0), stats)
-            if args.emit_report:
-                os.makedirs(os.path.dirname(os.path.abspath(args.emit_report)), exist_ok=True)
-                with open(args.emit_report, "w", encoding="utf-8") as f:
-                    json.dump(json.loads(report), f, indent=2, ensure_ascii=False)
-            if args.json:
-                say(report)
-                return 0
-        if found is not None:
-            for r in render.hit_text(found).toLocalIterator():
+            return inspect(spark, args, plan, say, lambda head, name, rows: (out.writelines(render.report_parts(head, name, rows, {})), say("")))
+        report = api.search(spark, api.Config(args.expr, args.paths, args.hidden, args.follow_symlinks, args.max_hits, not args.stats_only, args.threads if "threads" in args else None))
+        parts = lambda indent: render.report_parts({"expression": report.expression}, "hits", report.hits, {"stats": report.stats}, indent)
+        if args.emit_report:
+            os.makedirs(os.path.dirname(os.path.abspath(args.emit_report)), exist_ok=True)
+            with open(args.emit_report, "w", encoding="utf-8") as f:
+                f.writelines(parts(True))
+        if args.json:
+            out.writelines(parts(False))
+            say("")
+            return 0
+        if report.hits is not None:
+            for r in render.hit_text(report.hits).toLocalIterator():
                 say(r.rendered)
         if args.verb == "search":
-            for line in render.summary(plan.source, stats):
+            for line in render.summary(report.expression, report.stats):
                 say(line)
         return 0
     except (ValueError, CompatError) as e:
@@ -105,7 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         return 2
 
 
-def inspect(spark: SparkSession, args: argparse.Namespace, plan, say) -> int:
+def inspect(spark: SparkSession, args: argparse.Namespace, plan, say, write_parts) -> int:
     window = {"range_": args.range_, "start_line": args.start_line, "end_line": args.end_line, "skip": args.skip, "limit": args.limit, "total_count": args.total_count}
     context = {"context": args.context, "before": args.before_context, "after": args.after_context}
     if plan is None:
@@ -115,24 +103,23 @@ def inspect(spark: SparkSession, args: argparse.Namespace, plan, say) -> int:
         missing = [p for p in args.paths if not os.access(p, os.R_OK) or not os.path.isfile(p)]
         if missing:
             raise ins.InspectError(f"can't read {missing[0]}")
-        frame = files(spark, args.paths).cache()
+        frame = files(spark, args.paths)
         bad = frame.where("NOT is_valid_utf8(CAST(content AS STRING))").select("path").head()
         if bad:
             raise ins.InspectError(f"{bad.path} is not valid UTF-8")
         frame = frame.selectExpr("path", "CAST(content AS STRING) AS text")
         if args.json:
-            say(json.dumps({"reports": [json.loads(r.json) for r in render.as_json(ins.window_reports(frame, ["path"], **window, all_=args.all).orderBy("path")).toLocalIterator()]}, ensure_ascii=False))
+            write_parts({}, "reports", ins.window_reports(frame, ["path"], **window, all_=args.all).orderBy("path"))
             return 0
         for r in render.window_text(ins.window(frame, ["path"], **window, all_=args.all).orderBy("path", "line")).toLocalIterator():
             say(r.rendered)
         return 0
     if any(x is not None for x in window.values()) or args.all:
         raise ins.InspectError("an expression takes context, not window bounds")
-    frame = as_text(files(spark, discover(args.paths, args.hidden, args.follow_symlinks).paths)).select("path", "text").cache()
-    rows = ins.context(frame, ["path"], plan, **context, max_hits=args.max_hits)
+    frame = byte_text(found_files(spark, discover(args.paths, args.hidden, args.follow_symlinks))).select("path", "text")
+    rows = ins.context(frame, ["path"], plan.on_bytes(), **context, max_hits=args.max_hits)
     if args.json:
-        reports = [json.loads(r.json) for r in render.as_json(ins.context_reports(rows, ["path"]).orderBy("path")).toLocalIterator()]
-        say(json.dumps({"expression": plan.source, "reports": reports}, ensure_ascii=False))
+        write_parts({"expression": plan.source}, "reports", ins.context_reports(rows, ["path"]).orderBy("path"))
         return 0
     for r in render.context_text(rows.orderBy("path", "line")).toLocalIterator():
         say(r.rendered)

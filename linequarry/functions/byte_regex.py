@@ -7,6 +7,11 @@ byte (ISO-8859-1), spelling out all classes, case variants, anchors and word bou
 that nothing depends on Java's own meaning of \\b, \\w, '.', '$' or its flags. What the
 dialect lacks (look-around, back-references, possessive quantifiers, Unicode classes) is
 refused although Java has it.
+
+A pattern has to make sense for text and for bytes. Flags: i, m, s, x, U, R (lines end at
+"\\r\\n", "\\r" or "\\n") and u. Under (?u) a dot is one UTF-8 character, and what would need Unicode
+tables (classes, word boundaries) is refused; under (?-u) what could match part of a
+character is.
 """
 
 from __future__ import annotations
@@ -26,6 +31,15 @@ POSIX = {
     "punct": PRINT - DIGIT - UPPER - LOWER, "space": SPACE, "upper": UPPER, "word": WORD, "xdigit": DIGIT | frozenset(b"abcdefABCDEF"),
 }
 SIMPLE = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11, "a": 7}
+#: A fixed value: the bytes of UTF-8 characters of two to four bytes.
+CONTINUED = (0x80, 0xBF)
+UTF8 = [
+    [(0xC2, 0xDF), CONTINUED], [(0xE0, 0xE0), (0xA0, 0xBF), CONTINUED], [(0xE1, 0xEC), CONTINUED, CONTINUED], [(0xED, 0xED), (0x80, 0x9F), CONTINUED], [(0xEE, 0xEF), CONTINUED, CONTINUED],
+    [(0xF0, 0xF0), (0x90, 0xBF), CONTINUED, CONTINUED], [(0xF1, 0xF3), CONTINUED, CONTINUED, CONTINUED], [(0xF4, 0xF4), (0x80, 0x8F), CONTINUED, CONTINUED],
+]
+#: Most states (bytes and choices, repeats written out) of a pattern; more would pass a compiled size of 10 MiB at 64 bytes a state.
+MOST_STATES = 10 * 2**20 // 64
+WORD_ENDS = {"start": "word_start", "end": "word_end", "start-half": "word_start_half", "end-half": "word_end_half"}
 CLASSES = {"d": DIGIT, "w": WORD, "s": SPACE, "D": EVERY - DIGIT, "W": EVERY - WORD, "S": EVERY - SPACE}
 
 
@@ -45,7 +59,7 @@ class Class:
 
 @dataclass(frozen=True)
 class Look:
-    kind: str  # start, end, line_start, line_end, word, not_word
+    kind: str  # a key of LOOKS
 
 
 @dataclass(frozen=True)
@@ -75,7 +89,7 @@ class Alternation:
 class Parser:
     text: str
     at: int = 0
-    flags: dict = field(default_factory=lambda: dict.fromkeys("imsxU", False))
+    flags: dict = field(default_factory=lambda: dict.fromkeys("imsxUR", False) | {"u": None})
 
     def peek(self, n: int = 1) -> str:
         return self.text[self.at : self.at + n]
@@ -90,8 +104,19 @@ class Parser:
         tree = self.alternation()
         if self.at < len(self.text):
             raise RegexError("unopened group")
+        if states(tree) > MOST_STATES:
+            raise RegexError("the pattern is too big")
         return tree
 
+    def partial(self, what: bool) -> None:
+        """Refuses what can match a part of a character where Unicode was turned off."""
+        if what and self.flags["u"] is False:
+            raise RegexError("without Unicode this could match a part of a character")
+
+    def tables(self) -> None:
+        if self.flags["u"]:
+            raise RegexError("Unicode classes and word boundaries are not supported")
+
     def alternation(self) -> object:
         outer, branches = dict(self.flags), [self.concat()]
         while self.peek() == "|":
@@ -141,30 +166,46 @@ class Parser:
 
     def atom(self) -> object | None:
         c = self.take()
-        if c in "*+?":
+        if c in "*+?{":
             raise RegexError("nothing to repeat")
         if c == "(":
             return self.group()
         if c == "[":
             return self.bracket()
         if c == ".":
-            return Class(EVERY if self.flags["s"] else EVERY - {10})
-        if c == "^":
-            return Look("line_start" if self.flags["m"] else "start")
-        if c == "$":
-            return Look("line_end" if self.flags["m"] else "end")
+            self.partial(True)
+            members = EVERY if self.flags["s"] else EVERY - {10, 13} if self.flags["R"] else EVERY - {10}
+            return character(members) if self.flags["u"] else Class(members)
+        if c in "^$":
+            way = "start" if c == "^" else "end"
+            return Look(way if not self.flags["m"] else f"{'crlf' if self.flags['R'] else 'line'}_{way}")
         if c == "\\":
             e = self.take()
-            if e in "bBAz":
-                return Look({"b": "word", "B": "not_word", "A": "start", "z": "end"}[e])
+            if e in "bB<>":
+                self.tables()
+                if e in "<>":
+                    return Look("word_start" if e == "<" else "word_end")
+                end = self.text.find("}", self.at)
+                if e == "b" and self.peek() == "{" and self.text[self.at + 1 : end] in WORD_ENDS:
+                    name, self.at = self.text[self.at + 1 : end], end + 1
+                    return Look(WORD_ENDS[name])
+                return Look("word" if e == "b" else "not_word")
+            if e in "Az":
+                return Look("start" if e == "A" else "end")
             if e in CLASSES:
+                self.tables()
+                self.partial(e.isupper())
                 return Class(CLASSES[e])
             return self.literal(self.escape(e))
         return self.literal(c.encode())
 
     def literal(self, data: bytes) -> object:
         if self.flags["i"] and len(data) == 1 and data.isalpha():
-            return Class(frozenset(data.lower() + data.upper()))
+            both = Class(frozenset(data.lower() + data.upper()))
+            also = {b"k": "\u212a", b"s": "\u017f"}.get(data.lower()) if self.flags["u"] else None
+            return Group(Alternation((both, Literal(also.encode())))) if also else both
+        if self.flags["i"] and self.flags["u"] and not data.isascii():
+            raise RegexError("Unicode case folding is not supported")
         return Literal(data)
 
     def group(self) -> object | None:
@@ -210,6 +251,9 @@ class Parser:
             try:
                 code = int(digits, 16)
                 # Without Unicode, \xHH is a byte.
+                self.partial(e == "x" and 127 < code < 256)
+                if self.flags["u"]:
+                    return chr(code).encode()
                 return bytes([code]) if e == "x" and code < 256 else chr(code).encode()
             except (ValueError, OverflowError):
                 raise RegexError("malformed hexadecimal escape") from None
@@ -218,46 +262,78 @@ class Parser:
         return e.encode()
 
     def bracket(self) -> Class:
-        negated, members, first = self.peek() == "^", set(), True
+        """A class in brackets: items, and &&, -- and ~~ between what stands on their two sides, from left to right."""
+        self.tables()
+        negated, members = self.peek() == "^", frozenset()
         self.at += negated
+        self.partial(negated)
+        while self.peek() == "-":  # at the beginning it stands for itself
+            self.at, members = self.at + 1, frozenset(b"-")
+        left, operation, first = None, "", not members
         while True:
             c = self.take()
             if c == "]" and not first:
                 break
-            first = False
-            if c == "[":
-                if self.peek() == ":" and (end := self.text.find(":]", self.at)) >= 0:
-                    name = self.text[self.at + 1 : end]
-                    if name.lstrip("^") not in POSIX:
-                        raise RegexError(f"unknown class [:{name}:]")
-                    members |= EVERY - POSIX[name[1:]] if name[:1] == "^" else POSIX[name]
-                    self.at = end + 2
-                else:
-                    members |= self.bracket().members
-                continue
-            if (c + self.peek()) in ("&&", "--", "~~"):
-                raise RegexError("class set operations are not supported")
-            if c == "\\":
-                e = self.take()
-                if e in CLASSES:
-                    members |= CLASSES[e]
-                    continue
-                low = self.escape(e)
-            else:
-                low = c.encode()
-            high = low
-            if self.peek() == "-" and self.peek(2)[1:] not in ("]", ""):
+            if c + self.peek() in ("&&", "--", "~~"):
                 self.at += 1
-                h = self.take()
-                high = self.escape(self.take()) if h == "\\" else h.encode()
-            if len(low) > 1 or len(high) > 1:
-                raise RegexError("a class of bytes can't hold a character of several bytes")
-            if high < low:
-                raise RegexError("a class range is reversed")
-            members |= set(range(low[0], high[0] + 1))
-        if self.flags["i"]:
-            members |= {b ^ 32 for b in members if b in UPPER or b in LOWER}
-        return Class(frozenset(EVERY - members if negated else members))
+                left, operation, members, first = combined(left, operation, self.folded(members)), c, frozenset(), False
+                continue
+            first = False
+            members |= self.item(c)
+        members = combined(left, operation, self.folded(members))
+        return Class(EVERY - members if negated else members)
+
+    def folded(self, members: frozenset) -> frozenset:
+        return members | {b ^ 32 for b in members if b in UPPER or b in LOWER} if self.flags["i"] else members
+
+    def item(self, c: str) -> frozenset:
+        """What one item of a bracket expression, begun by c, holds."""
+        if c == "[":
+            if self.peek() == ":" and (end := self.text.find(":]", self.at)) >= 0:
+                name = self.text[self.at + 1 : end]
+                if name.lstrip("^") not in POSIX:
+                    raise RegexError(f"unknown class [:{name}:]")
+                self.at = end + 2
+                self.partial(name[:1] == "^")
+                return EVERY - POSIX[name[1:]] if name[:1] == "^" else POSIX[name]
+            return self.bracket().members
+        if c == "\\":
+            e = self.take()
+            if e in CLASSES:
+                self.partial(e.isupper())
+                return CLASSES[e]
+            low = self.escape(e)
+        else:
+            low = c.encode()
+        high = low
+        if self.peek() == "-" and self.peek(2)[1:] not in ("]", "", "-"):
+            self.at += 1
+            h = self.take()
+            high = self.escape(self.take()) if h == "\\" else h.encode()
+        if len(low) > 1 or len(high) > 1:
+            raise RegexError("a class of bytes can't hold a character of several bytes")
+        if high < low:
+            raise RegexError("a class range is reversed")
+        return frozenset(range(low[0], high[0] + 1))
+
+
+def combined(left: frozenset | None, operation: str, right: frozenset) -> frozenset:
+    """left operation right; without an operation, right."""
+    return right if left is None else {"&": left & right, "-": left - right, "~": left ^ right}[operation]
+
+
+def character(members: frozenset) -> Group:
+    """One UTF-8 character: a byte of members below 128, or a sequence of several."""
+    longer = [Concat(tuple(Class(frozenset(range(a, b + 1))) for a, b in x)) for x in UTF8]
+    return Group(Alternation((Class(frozenset(b for b in members if b < 128)), *longer)))
+
+
+def states(node: object) -> int:
+    """About how many states an automaton for the tree has."""
+    if isinstance(node, Repeat):
+        n = states(node.sub)
+        return node.least * n + (n + 1 if node.most is None else (node.most - node.least) * (n + 1))
+    return len(node.data) if isinstance(node, Literal) else max(1, sum(map(states, children(node))) + isinstance(node, Alternation))
 
 
 def parse(pattern: str) -> object:
@@ -285,6 +361,8 @@ def of_class(members: frozenset) -> str:
 _W = of_class(WORD)
 LOOKS = {
     "start": r"\A", "end": r"\z", "line_start": r"(?:\A|(?<=\x0a))", "line_end": r"(?:\z|(?=\x0a))",
+    "crlf_start": r"(?:\A|(?<=\x0a)|(?<=\x0d)(?!\x0a))", "crlf_end": r"(?:\z|(?=\x0d)|(?<!\x0d)(?=\x0a))",
+    "word_start": f"(?:(?<!{_W})(?={_W}))", "word_end": f"(?:(?<={_W})(?!{_W}))", "word_start_half": f"(?<!{_W})", "word_end_half": f"(?!{_W})",
     "word": f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))", "not_word": f"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))",
 }
 

@@ -172,14 +172,17 @@ class Discovered:
     roots: Roots
     paths: list[str]
     duplicate_paths: int
+    uris: list[str] = field(default_factory=list)
 
 
 def discover(roots: list[str], hidden: bool = False, follow_symlinks: bool = False) -> Discovered:
-    """The files of all roots; those named directly pass by the hidden and ignore rules. Paths are told apart only between several roots."""
-    own = normalise(roots)
+    """The files of all roots; those named directly pass by the hidden and ignore rules. Paths are told apart only between several roots. URIs are left to found_files()."""
+    uris = list(dict.fromkeys(r for r in roots if is_uri(r)))
+    own = normalise([r for r in roots if not is_uri(r)])
     paths = [*own.files, *(p for d in own.directories for p in walk(d, hidden, follow_symlinks))]
     unique = list(dict.fromkeys(paths)) if own.effective_roots > 1 else paths
-    return Discovered(own, unique, len(paths) - len(unique))
+    own.input_roots, own.directories, own.pruned_roots = len(roots), own.directories + uris, own.pruned_roots + sum(map(is_uri, roots)) - len(uris)
+    return Discovered(own, unique, len(paths) - len(unique), uris)
 
 
 def read_contents(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,24 +204,56 @@ def files(spark: SparkSession, paths: list[str], per_task: int = 64) -> DataFram
     return spread.mapInPandas(read_contents, "path string, length long, content binary")
 
 
+def found_files(spark: SparkSession, found: Discovered) -> DataFrame:
+    """path, length, content of all that discover() found."""
+    own = files(spark, found.paths)
+    return own.unionByName(stored_files(spark, found.uris)) if found.uris else own
+
+
+def is_uri(root: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+://", root) is not None
+
+
+def stored_files(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """path, length, content of the files below URIs of any storage that Spark reads; listed, split and read by Spark.
+
+    Spark leaves out names that begin with a dot or an underscore, and ignore files have no say.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uris).select("path", "length", "content")
+
+
 def as_text(found: DataFrame) -> DataFrame:
     """path, length, text of the files that aren't binary: UTF-8, what is invalid replaced. For search on bytes that may be invalid see byte_text()."""
+    return not_binary(found).select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def byte_text(found: DataFrame) -> DataFrame:
+    """path, length, text of the files that aren't binary, one character for each byte: for a plan on_bytes()."""
+    return not_binary(found).select("path", "length", F.decode("content", "ISO-8859-1").alias("text"))
+
+
+def not_binary(found: DataFrame) -> DataFrame:
     nul = F.position(F.lit(b"\0"), F.substring("content", 1, BINARY_PROBE)) > 0
-    return found.where(~nul).select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return found.where(~nul)
+
+
+def depth(path: Column) -> Column:
+    """A path's number of components."""
+    return F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
 
 
 def path_depth(found: DataFrame) -> DataFrame:
     """One row: the deepest path's number of components."""
-    return found.agg(F.max(F.size(F.filter(F.split("path", "/"), lambda p: p != ""))).cast("long").alias("max_depth"))
+    return found.agg(F.max(depth(F.col("path"))).cast("long").alias("max_depth"))
 
 
 class Prepared:
-    """Files discovered once and read often: the frame is cached, and bound to its roots and options."""
+    """Files discovered once and searched often, bound to their roots and options. Contents are read again by each search, and never kept."""
 
     def __init__(self, spark: SparkSession, roots: list[str], hidden: bool = False, follow_symlinks: bool = False):
         self.roots, self.hidden, self.follow_symlinks = list(roots), hidden, follow_symlinks
         self.found = discover(roots, hidden, follow_symlinks)
-        self.files = files(spark, self.found.paths).cache()
+        self.files = found_files(spark, self.found)
 
     def for_search(self, roots: list[str], hidden: bool = False, follow_symlinks: bool = False) -> DataFrame:
         if list(roots) != self.roots:
