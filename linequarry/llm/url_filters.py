@@ -4,8 +4,9 @@ A list is a log of entries (list, pattern, action add or remove, at). intervals(
 log into disjoint validity intervals, one row per pattern with its intervals in an array, so
 the join below gives at most one row per capture and pattern, whatever the list's history.
 A pattern is a domain (which covers its subdomains) or a host with a path prefix of whole
-segments. Each distinct (url, fetched_at) is turned into the keys that could match it, their
-number linear in the length of the url; those are joined with the patterns by equality, the
+segments. Each distinct (url, fetched_at) is turned into the keys that could match it: its host's
+domains and path prefixes, as far as the list has patterns of so many labels or segments, so
+that a very long url has no more keys than a short one. Those are joined with the patterns by equality, the
 list being broadcast only if Spark finds it small, and of each pattern only the interval
 with valid_from <= fetched_at < valid_to counts. Verdicts go back to the captures by
 (url, fetched_at); only captures that matched anything take part in that join.
@@ -16,7 +17,9 @@ first list by name.
 Defined cases: a null or hostless url has host '' and verdict none; a null fetched_at
 matches nothing. Entries repeated at one instant count once, a remove after an add at the
 same instant wins. Removing what isn't listed does nothing. Repeated captures each get the
-verdict. Empty lists and empty tables work. Extra columns pass through judged().
+verdict. An IPv6 host keeps its brackets, and an address has no domains above it. Empty lists and
+empty tables work. Extra columns pass through judged() whatever their names, but for those that it
+adds (host, verdict, list, pattern, valid_from, valid_to, n_active): these it replaces.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ ENTRIES = [
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -66,26 +69,40 @@ def intervals(log: DataFrame) -> DataFrame:
     return spans.groupBy(F.lower("pattern").alias("pattern")).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("valid_from"), "valid_to", "list", "effect"))).alias("valid"))
 
 
-def keys(host: Column, path: Column) -> Column:
-    """The patterns that could match: every domain above the host, and the host with every prefix of its path."""
-    labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(parts, F.lit(1), i), "/"))))
-    return F.array_distinct(F.concat(domains, prefixes))
+def extent(patterns: DataFrame) -> tuple[int, int]:
+    """The most labels of a pattern's host and the most segments of its path."""
+    host = F.split("pattern", "/")[0]
+    r = patterns.agg(F.max(F.size(F.split(host, r"\."))), F.max(F.size(F.split("pattern", "/")) - 1)).head()
+    return r[0] or 0, r[1] or 0
+
+
+def keys(host: Column, path: Column, labels: int, segments: int) -> Column:
+    """The patterns that could match: the domains above the host, and the host with prefixes of its path, up to so many labels and segments."""
+    names, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
+    address = host.rlike(r"^(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})$")
+    above = F.transform(F.sequence(F.greatest(F.size(names) - labels + 1, F.lit(1)), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+    prefix = lambda i: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    some = F.least(F.size(parts), F.lit(segments))
+    prefixes = F.when(some > 0, F.transform(F.sequence(F.lit(1), F.greatest(some, F.lit(1))), prefix)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.when(address, F.array(host)).otherwise(above), prefixes))
 
 
 def judged(captures: DataFrame, log: DataFrame) -> DataFrame:
     """captures (url, fetched_at) with host, verdict (block, allow, none), list, pattern, valid_from, valid_to and n_active."""
     names = [c for c in captures.columns if c not in ("host", "verdict", "list", "pattern", "valid_from", "valid_to", "n_active")]
-    asked = captures.where("url IS NOT NULL AND fetched_at IS NOT NULL").select("url", "fetched_at").distinct()
-    asked = asked.select("url", "fetched_at", F.explode(keys(host_of(F.col("url")), path_of(F.col("url")))).alias("key")).where("key <> '' AND key <> '/'")
+    listed = intervals(log)
+    # A capture is one column here, so that no name of its own can meet ours.
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("url").alias("at_url"), F.col("fetched_at").alias("at_time"))
+    asked = captures.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
+    asked = asked.select("url", "fetched_at", F.explode(keys(host_of(F.col("url")), path_of(F.col("url")), *extent(listed))).alias("key")).where("key <> '' AND key <> '/'")
     active = F.filter("valid", lambda v: (v["valid_from"] <= F.col("fetched_at")) & (v["valid_to"].isNull() | (F.col("fetched_at") < v["valid_to"])))
-    hits = asked.join(intervals(log), F.col("key") == F.col("pattern")).select("url", "fetched_at", "pattern", F.explode(active).alias("v"))
+    hits = asked.join(listed, F.col("key") == F.col("pattern")).select("url", "fetched_at", "pattern", F.explode(active).alias("v"))
     rank = F.struct((-F.char_length("pattern")).alias("shorter"), (F.col("v.effect") != "block").alias("allows"), F.col("v.list").alias("list"), "pattern", "v")
-    best = hits.groupBy(F.col("url").alias("__url"), F.col("fetched_at").alias("__at")).agg(F.count("*").alias("n"), F.min(rank).alias("b"))
-    out = captures.select(*names).join(best, (F.col("url") == F.col("__url")) & (F.col("fetched_at") == F.col("__at")), "left")
+    best = hits.groupBy("url", "fetched_at").agg(F.count("*").alias("n"), F.min(rank).alias("b"))
+    out = rows.join(best, (F.col("at_url") == F.col("url")) & (F.col("at_time") == F.col("fetched_at")), "left")
     b = lambda c: F.col(f"b.v.{c}").alias(c)
-    return out.select(*names, F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce("b.v.effect", F.lit("none")).alias("verdict"), b("list"), F.col("b.pattern").alias("pattern"), b("valid_from"), b("valid_to"), F.coalesce("n", F.lit(0)).cast("long").alias("n_active"))
+    own = [F.col("row")[c].alias(c) for c in names]
+    return out.select(*own, F.coalesce(host_of(F.col("at_url")), F.lit("")).alias("host"), F.coalesce("b.v.effect", F.lit("none")).alias("verdict"), b("list"), F.col("b.pattern").alias("pattern"), b("valid_from"), b("valid_to"), F.coalesce("n", F.lit(0)).cast("long").alias("n_active"))
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -106,7 +123,7 @@ spans AS (
   FROM turns WHERE action <> before),
 captures AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id %% 366 AS INTEGER)) AS fetched_at,
-         coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '') AS host,
+         coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)', 1)), '') AS host,
          coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)), '') AS path
   FROM pages),
 hits AS (

@@ -106,3 +106,22 @@ def test_empty_lists_and_tables(spark):
     pages = spark.createDataFrame([("http://a.b/c", dt.datetime(2024, 1, 1))], "url string, fetched_at timestamp")
     assert uf.judged(pages, none).head().verdict == "none"
     assert uf.judged(pages.limit(0), uf.entries(spark)).count() == 0
+
+
+def test_hosts_and_long_urls(spark):
+    log = [("l", "bad.org/a", "block", "add", "2024-01-01"), ("l", "[2001:db8::1]", "block", "add", "2024-01-01"), ("l", "3.4", "block", "add", "2024-01-01"), ("l", "1.2.3.4", "block", "add", "2024-01-01")]
+    at = dt.datetime(2024, 2, 1)
+    urls = ["http://bad.org/" + "a/" * 50_000, "http://bad.org/" + "b/" * 50_000, "http://" + "x." * 20_000 + "bad.org/a", "http://[2001:DB8::1]:80/x", "http://1.2.3.4/x", "http://9.2.3.4/x"]
+    df = spark.createDataFrame([(u, at) for u in urls], "url string, fetched_at timestamp")
+    got = {r.url: r.verdict for r in uf.judged(df, uf.entries(spark, log)).collect()}
+    assert [got[u] for u in urls] == ["block", "none", "none", "block", "block", "none"]
+
+
+def test_any_extra_column(spark):
+    """Every name that the operator uses itself, as a column of the captures."""
+    names = ["n", "b", "row", "key", "v", "valid", "at_url", "at_time", "action", "effect", "at", "__url", "a.b", "host", "verdict", "list", "pattern", "valid_from", "valid_to", "n_active"]
+    df = spark.createDataFrame([("http://bad.org", dt.datetime(2024, 1, 20), *["own"] * len(names))], ["url", "fetched_at", *names])
+    out = uf.judged(df, uf.entries(spark, LOG))
+    r = out.head().asDict()
+    assert (r["host"], r["verdict"], r["pattern"], r["n_active"]) == ("bad.org", "block", "bad.org", 2)
+    assert all(r[c] == "own" for c in names[:13]) and len(out.columns) == 22
