@@ -1,19 +1,28 @@
 """HTML extraction by two passes of block rules.
 
-The page is cut at tags into blocks. What markup itself names as no article text (script,
-style, form, nav, footer, aside, or a class, id or role that names a menu, notice, advert,
-comments or the like) is left out with all that it holds. Every other block gets a class
-from its length, its link density and its stop-word density: good, bad, short or near-good.
-The second pass settles the rest: a near-good or short block takes the label of its nearest
-decided neighbours in the same part of the page (article, main, or body outside them);
-where they disagree the nearer one counts, good at a tie; where there is one, it counts; where there is none, the page's
-own structure decides: kept inside an article or main, else left out. Headings belong to
-what follows them. Inside an article nothing but link density makes a block bad.
+The page is cut at tags into blocks. What markup itself names as no article text is left out
+with all that it holds: script, style, form, nav, footer, aside, and elements with a class, id
+or role that names a menu, notice, advert, comments or the like (whole names, or the first or
+last part of a hyphenated one, unless it says that something else has one: has-sidebar). If
+that hides every article or main of the page, names of layout alone (sidebar, menu, form) don't
+count on elements that hold one.
+
+First pass: link density makes a block bad (inside an article or main only two or more blocks in
+a row that are nothing but links, a menu); length and stop-word density make the others good,
+near-good, short or, if long and outside an article, bad. Second pass: a near-good or short
+block takes the label of its nearest decided neighbours in the same part of the page (article,
+main, or body outside them). Where they disagree the nearer one counts, good at a tie; inside
+an article, whose edges count as good neighbours, one good neighbour is enough. Where nothing
+is decided a near-good block is kept, a short one only inside an article. Headings belong to
+what follows them. Of a page with text in an article or main nothing else is kept.
 
 Defined cases: null and empty html give an empty text. Unclosed and stray tags are met as
-browsers do: block tags end an open paragraph, end tags close up to their start if there is
-one. Character references are decoded once, white space (no-break space too) becomes one
-space, empty blocks vanish. Repeated rows are extracted each. Extra columns are ignored.
+browsers do: block tags end an open paragraph, the body ends an open head, end tags close up
+to their start if there is one; <!--> and <!---> are whole comments. Character references are
+decoded once, white space (no-break space too) becomes one space, empty blocks vanish. Time is
+linear in the page. Repeated rows are extracted each; an empty table gives no rows. Extra
+columns pass through extracted(), but columns of the names that it adds (text, n_chars) are
+replaced, also where it reads html from them.
 """
 
 from __future__ import annotations
@@ -36,39 +45,47 @@ SKIPPED = frozenset("script style noscript template form nav footer aside head i
 RAW = frozenset("script style textarea noscript template iframe svg".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("article main".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adslot|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|"
-    r"aside|footer|foot|masthead|site-header|page-header|topbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
-    r"related|recommended|comment|comments|commentlist|reply|replies|respond|disqus|discussion|reader-comments|widget|pagination|pager|tags|toc|copyright|legal|complementary|contentinfo|search|toolbar)(?=$|[\s_-])"
+NAMED = frozenset(
+    "ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "aside footer foot masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
+    "related recommended comment comments commentlist reply replies respond disqus discussion widget pagination pager tags toc copyright legal complementary contentinfo search toolbar".split()
 )
+PHRASES = frozenset("side-bar site-header page-header".split())
+LAYOUT = frozenset("nav navbar navigation menu sidebar side-bar masthead topbar toolbar form".split())
+#: A name that begins so tells of something else.
+MODIFIERS = frozenset("has with without no not non hide show is".split())
 STOP_WORDS = frozenset(
     "the of and to a in is it that for was on are as with be by at or from this not have an they which but his her "
     "le la les de des du un une et est en que qui dans pour pas sur par au avec ce il ne se plus sont "
     "der die das und ist in den von zu mit dem sich des auf für im nicht ein eine als auch es an werden aus "
     "el los las de que y en un una es por con no para su al lo como más se del".split()
 )
-#: Thresholds: most links, least length of a good block, least stop words of a good and of a near-good block.
-LINKS, SHORT, GOOD_LENGTH, STOPS_LOW, STOPS_HIGH = 0.4, 40, 120, 0.08, 0.2
+#: Thresholds: most links, what counts as nothing but a link, least length of a good block, least stop words of a good and of a near-good block.
+LINKS, ALL_LINK, SHORT, GOOD_LENGTH, STOPS_LOW, STOPS_HIGH = 0.4, 0.9, 40, 120, 0.08, 0.2
 
 NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 END_OR_VALUE = re.compile(r">|=\s*([\"'])")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+COMMENT_END = re.compile(r"--!?>")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     """Begin, end, slash, name and attributes of each tag; no name for comments and declarations. A tag that is never closed is text."""
     at = page.find("<")
     while at >= 0:
-        if page.startswith(("<!--", "<![CDATA["), at):
-            mark = "-->" if page[at + 2] == "-" else "]]>"
-            end = page.find(mark, at + 4)
-            end = len(page) if end < 0 else end + 3
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                end = page.index(">", at) + 1
+            else:
+                m = COMMENT_END.search(page, at + 4)
+                end = m.end() if m else len(page)
             yield at, end, "", "", ""
-        elif page.startswith(("<!", "<?"), at) or (m := NAME.match(page, at)):
+        elif (m := NAME.match(page, at)) or page.startswith(("<!", "<?", "</"), at):
             first = page.find(">", at + 1)
             if first < 0:
                 return
-            if page[at + 1] in "!?":
+            if not m:
                 end = first + 1
                 yield at, end, "", "", ""
             else:
@@ -86,57 +103,100 @@ def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
         at = page.find("<", end)
 
 
-def left_out(name: str, attributes: str, inside: bool) -> bool:
+def names_a_part(value: str) -> set[str]:
+    """The names of page parts among the words of a class, id or role."""
+    found = set()
+    for word in value.split():
+        word = HUMP.sub("-", word).lower().replace("_", "-").strip("-")
+        parts = word.split("-")
+        if parts[0] not in MODIFIERS or len(parts) == 1:
+            found |= {x for x in (word, parts[0], parts[-1]) if x in NAMED or x in PHRASES}
+            found |= {x for x in PHRASES if word.startswith(x + "-") or word.endswith("-" + x)}
+    return found
+
+
+def left_out(name: str, attributes: str, inside: bool) -> str:
+    """Whether an element is no article text: "" (it may be), "layout" (by a name that a whole page's frame may bear), or "part"."""
     if name in SKIPPED or (name == "header" and not inside):
-        return True
+        return "layout" if name == "form" else "part"
     if name in ("html", "body", *PARTS) or not attributes:
-        return False
+        return ""
+    own: dict[str, str] = {}
     for key, *values in ATTRIBUTE.findall(attributes):
-        value, key = "".join(values).lower(), key.lower()
-        if key in ("class", "id", "role"):
-            if NAMED.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(values)).lower()):
-                return True
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+        own.setdefault(key.lower(), entities.unescape("".join(values)))
+    style = own.get("style", "").lower()
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style):
+        return "part"
+    found = set().union(*(names_a_part(own.get(k, "")) for k in ("class", "id", "role")))
+    return "" if not found else "layout" if found <= LAYOUT else "part"
+
+
+class Opened:
+    """The open elements, with the places of those that are asked for kept apart, so that no tag needs to look through all."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, int]] = []  # name, left_out(), number of the part it begins
+        self.named: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.skips: list[int] = []
+        self.firm: list[int] = []  # of the skips those that aren't layout
+        self.parts: list[int] = []
+        self.links = self.headings = 0
 
+    def push(self, name: str, skip: str, number: int) -> None:
+        i = len(self.stack)
+        self.stack.append((name, skip, number))
+        self.named.setdefault(name, []).append(i)
+        for held, own in ((self.blocks, name not in INLINE), (self.skips, skip), (self.firm, skip == "part"), (self.parts, number)):
+            if own:
+                held.append(i)
+        self.links += name == "a"
+        self.headings += name in HEADINGS
 
-def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
-    """(text, characters in links, heading, number of the page's part, whether that is an article or main) of each block in page order."""
+    def close(self, i: int) -> None:
+        """Closes the elements from the i-th on."""
+        while len(self.stack) > i:
+            name, _, _ = self.stack.pop()
+            self.named[name].pop()
+            for held in (self.blocks, self.skips, self.firm, self.parts):
+                if held and held[-1] == len(self.stack):
+                    held.pop()
+            self.links -= name == "a"
+            self.headings -= name in HEADINGS
+
+
+def blocks(page: str, reveal: bool = False) -> tuple[list[tuple[str, int, bool, int, bool]], bool]:
+    """(text, characters in links, heading, number of the page's part, whether that is an article or main) of each block in page order,
+    and whether names of layout hide an article or main; with reveal they don't."""
     out: list[tuple[str, int, bool, int, bool]] = []
     words: list[str] = []
-    linked, heading, part, parts, at = 0, False, 0, 0, 0
-    # Open elements: name, and whether it began something left out, an article's part, a link.
-    stack: list[tuple[str, bool, int]] = []
-    hidden = links = 0
-    within: list[int] = []
+    linked, parts, at, hides = 0, 0, 0, False
+    open_ = Opened()
+    shown = -1  # with reveal, the skips up to this place don't count
+
+    def hidden() -> bool:
+        return bool(open_.skips) and open_.skips[-1] > shown
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(words)).split())
         if text:
-            out.append((text, linked, heading, within[-1] if within else 0, bool(within)))
+            out.append((text, linked, open_.headings > 0, open_.stack[open_.parts[-1]][2] if open_.parts else 0, bool(open_.parts)))
         words.clear()
         linked = 0
 
-    def close(i: int) -> None:
-        nonlocal hidden, links, heading
-        for name, skips, number in reversed(stack[i:]):
-            hidden -= skips
-            links -= name == "a"
-            if number:
-                within.pop()
-            if name in HEADINGS:
-                heading = False
-        del stack[i:]
-
     def put(text: str) -> None:
         nonlocal linked
-        if not hidden and text:
+        if text and not hidden():
             words.append(text)
-            if links:
+            if open_.links:
                 linked += len(" ".join(entities.unescape(text).split()))
 
+    def close(i: int) -> None:
+        nonlocal shown
+        open_.close(i)
+        shown = min(shown, i - 1)
+
     for begin, end, slash, name, attributes in tags(page):
         if begin < at:
             continue  # inside a script or the like
@@ -145,60 +205,67 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
         if name == "br":
             put(" ")
         elif slash:
-            i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if i >= 0:
+            places = open_.named.get(name)
+            # An inline end tag doesn't close blocks.
+            if places and not (name in INLINE and open_.blocks and open_.blocks[-1] > places[-1]):
                 if name not in INLINE:
                     end_block()
-                elif any(x[0] not in INLINE for x in stack[i:]):
-                    i = -1  # an inline end tag doesn't close blocks
-                if i >= 0:
-                    close(i)
+                close(places[-1])
         elif name:
             if name not in INLINE:
                 end_block()
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
-                if k >= 0:
-                    top = stack[k][0]
+                if name in ("body", *PARTS) and open_.named.get("head"):
+                    close(open_.named["head"][-1])
+                if open_.blocks:
+                    k = open_.blocks[-1]
+                    top = open_.stack[k][0]
                     if top == "p" or top in HEADINGS or (top == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
                         close(k)
-                    elif k < len(stack) - 1 and not any(x[1] for x in stack[k + 1 :]):
+                    elif k < len(open_.stack) - 1 and not (open_.skips and open_.skips[-1] > k):
                         close(k + 1)
             if name in RAW:
                 after = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = after.end() if after else len(page)
             elif name not in VOID and not attributes.endswith("/"):
-                skips, number = left_out(name, attributes, bool(within)), 0
-                if name in PARTS and not within and not hidden:
-                    parts += 1
-                    number = parts
-                    within.append(number)
-                hidden += skips
-                links += name == "a"
-                heading = heading or name in HEADINGS
-                stack.append((name, skips, number))
+                skip, number = left_out(name, attributes, bool(open_.parts)), 0
+                if name in PARTS and not open_.parts:
+                    if hidden() and not open_.firm:
+                        hides = True
+                        shown = len(open_.stack) - 1 if reveal else shown
+                    if not hidden():
+                        parts += 1
+                        number = parts
+                open_.push(name, skip, number)
     put(page[at:])
     end_block()
-    return out
+    return out, hides
 
 
-def first_pass(text: str, linked: int, inside: bool) -> str:
-    if linked > LINKS * len(text):
-        return "bad"
-    if len(text) < SHORT:
-        return "short"
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()&$#*%") in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_HIGH or (inside and len(text) >= GOOD_LENGTH):
-        return "good" if len(text) >= GOOD_LENGTH else "near"
-    return "near" if stops >= STOPS_LOW or inside else "bad"
+def first_pass(found: list[tuple[str, int, bool, int, bool]]) -> list[str]:
+    """A label for each block: good, bad, near or short."""
+    only_link = [linked > ALL_LINK * len(text) for text, linked, *_ in found]
+    parts = [b[3] for b in found]
 
+    def beside(i: int) -> bool:
+        return any(0 <= k < len(found) and only_link[k] and parts[k] == parts[i] for k in (i - 1, i + 1))
 
-def extract(page: str | None) -> str:
-    """The main text of a page: its blocks joined by line ends."""
-    if not page:
-        return ""
-    found = blocks(page)
-    labels = [first_pass(text, linked, inside) for text, linked, _, _, inside in found]
+    def label(i: int) -> str:
+        text, linked, _, _, inside = found[i]
+        if (only_link[i] and beside(i)) if inside else linked > LINKS * len(text):
+            return "bad"
+        if len(text) < SHORT:
+            return "short"
+        words = text.lower().split()
+        stops = sum(w.strip(".,;:!?\"'()&$#*%") in STOP_WORDS for w in words) / len(words)
+        if stops >= STOPS_HIGH:
+            return "good" if len(text) >= GOOD_LENGTH else "near"
+        return "near" if stops >= STOPS_LOW or inside or len(text) < GOOD_LENGTH else "bad"
+
+    return [label(i) for i in range(len(found))]
+
+
+def second_pass(found: list[tuple[str, int, bool, int, bool]], labels: list[str]) -> list[bool]:
+    """Whether each block is kept."""
     kept = [x == "good" for x in labels]
     before: list[int] = []
     last: dict[int, int] = {}
@@ -209,25 +276,35 @@ def extract(page: str | None) -> str:
     last.clear()
     for i in range(len(found) - 1, -1, -1):
         _, _, heading, part, inside = found[i]
-        if labels[i] in ("short", "near"):
-            p, n = before[i], last.get(part, -1)
-            if inside and (p < 0 or labels[p] == "good" or n < 0 or labels[n] == "good"):
-                kept[i] = True
-            elif heading and n >= 0:
-                kept[i] = labels[n] == "good"
-            elif p < 0 and n < 0:
-                kept[i] = inside or labels[i] == "near"
-            elif p < 0 or n < 0:
-                kept[i] = labels[max(p, n)] == "good"
-            elif labels[p] == labels[n]:
-                kept[i] = labels[p] == "good"
-            else:
-                kept[i] = labels[p if i - p < n - i else n] == "good" if i - p != n - i else True
-        else:
+        if labels[i] not in ("short", "near"):
             last[part] = i
+            continue
+        p, n = before[i], last.get(part, -1)
+        good = lambda k: k >= 0 and labels[k] == "good"
+        if inside:
+            kept[i] = p < 0 or n < 0 or good(p) or good(n)
+        elif p < 0 and n < 0:
+            kept[i] = labels[i] == "near"
+        elif (heading and n >= 0) or p < 0:
+            kept[i] = good(n)
+        elif n < 0:
+            kept[i] = good(p)
+        else:
+            kept[i] = good(p) if i - p < n - i else good(n) if i - p > n - i else good(p) or good(n)
     # A page with an article or main has its text there.
     if any(k and b[4] for k, b in zip(kept, found, strict=True)):
         kept = [k and b[4] for k, b in zip(kept, found, strict=True)]
+    return kept
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page: its blocks joined by line ends."""
+    if not page:
+        return ""
+    found, hides = blocks(page)
+    if hides and not any(b[4] for b in found):
+        found, _ = blocks(page, reveal=True)
+    kept = second_pass(found, first_pass(found))
     return "\n".join(b[0] for k, b in zip(kept, found, strict=True) if k)
 
 
