@@ -33,11 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: A fixed value: Spark's setting by which an execution deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost."""
+    """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost. The shuffles that made it go with the write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

@@ -1,28 +1,29 @@
-"""Suffix-array dedup: repeated 200-byte strings by minimizer anchors and hash refinement.
-
-This stands in place of prefix doubling over rank pairs. Positions are grouped by ever longer
-strings around them. In each round Spark groups (rank so far, name of the longer string) pairs over all documents; a position whose
-string is unique leaves, and one whose string has reached the threshold and still has a
-partner is done. Only equality of ranks matters here, so a rank is the group's name (a hash
-of its bytes) in place of its ordinal.
-
-A round over every byte would move tens of times the corpus, so positions start thinned: each
-window of LENGTH bytes is represented by its least-hashed GRAM-byte substring, its anchor,
-which equal windows share at the same offset. Runs of windows with one anchor form a node.
-The strings that a round compares are:
-
-1. the GRAM bytes at the anchor (in all windows of the node);
-2. the node's hull, all its windows' bytes: nodes with equal hulls are done, all windows
-   repeated. Of each group of equal hulls one node goes on, as a witness, as long as the
-   group of its anchor's bytes has nodes that aren't done;
-3. for each BLOCK of offsets to the anchor, the bytes that all windows of that block share;
-4. each window, whole.
+"""Suffix-array dedup: repeated 200-byte strings by distributed prefix doubling over thinned positions.
+
+Prefix doubling sorts all positions by pairs of ranks, (rank of the k bytes at i, rank of those at
+i + k), and reranks, for k = 1, 2, 4 and so on. On every byte that moves over 20 bytes a byte, so here
+positions are thinned first, and doubling starts from the strings of GRAM bytes at what is left:
+
+1. Every window of LENGTH bytes is represented by its least-hashed GRAM-byte string, its anchor,
+   which equal windows share at the same offset. Runs of windows with one anchor form a node.
+   A node whose anchor is unique leaves.
+2. A node whose hull, all its windows' bytes, recurs is done, all its windows repeated. Of each
+   group of equal hulls one node goes on, as a witness, as long as the group of its anchor has
+   nodes that aren't done.
+3. What is left are open positions: for each BLOCK of a node's windows the string of SHARED bytes
+   that they have in common. Round by round, pairs of ranks are sorted, counted and numbered
+   anew; a position whose pair is unique leaves: 50 bytes to 100 (offset 50), 100 to 185 (offset
+   85: the two halves may overlap).
+4. The windows of the blocks that recur: 100 bytes to 200 (offset 100), past the threshold.
+
+The first rank of a string is its 64-bit hash, so that no round over bytes is needed; a rank after
+that is the pair's place in sorted order. The last round's pair has 128 bits of the windows' own
+bytes, so no earlier collision can make a window recur.
 
 Documents are read to find anchors, to fetch the bytes of the few open nodes, and to cut
 the results out. No step needs a group's rows in one task: counts are partial aggregates and
-joins are by equality, which Spark can split where they are skewed.
-
-Done windows have 128-bit names. Rows are told apart by doc_id and the text's 64-bit xxHash.
+joins are by equality with tables of groups, so that Spark can split hot ones. Rows are told
+apart by doc_id and the text's 64-bit xxHash.
 
 Defined cases: a null text is empty: 0 bytes, nothing removed, the SHA-256 of nothing. Texts
 under LENGTH bytes keep all. Repeated rows are copies of each other, so all of their bytes
@@ -31,9 +32,7 @@ go if there are LENGTH or more. An empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +45,8 @@ from linequarry.functions.shipping import ship
 from linequarry.llm.common import forget, table, text_or_empty, written
 
 LENGTH, GRAM, BLOCK = 200, 50, 16
+#: What all windows of a block share, and the length that the first round of doubling reaches.
+SHARED, HALF = LENGTH - BLOCK + 1, 2 * GRAM
 #: Bytes looked at together; longer documents are cut into stretches of windows, which changes nodes but no result.
 CHUNK = 1 << 20
 KEY = ["doc_id", "digest"]
@@ -155,48 +156,57 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     nodes.append(n)
                     hulls.append(t[start : start + (n["at"] >> 8 & 255) + LENGTH])
             row = pa.array(which, pa.int64())
-            cols = [pa.array([n[c] for n in nodes], t) for c, t in (("at", pa.int64()), ("core", pa.int64()), ("hull", pa.int64()), ("open", pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *cols, pa.array(hulls, pa.binary())], names=[*KEY, "at", "core", "hull", "open", "bytes"])
+            cols = [pa.array([n[c] for n in nodes], t) for c, t in (("at", pa.int64()), ("open", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *cols, pa.array(hulls, pa.binary())], names=[*KEY, "at", "open", "bytes"])
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(core, hull, at, bytes) to (core, hull, block, name): what all windows at a block of offsets share."""
+    """(node, at, bytes) to (node, block, a0, a1, b0, b1): ranks of the GRAM bytes that the two halves of a block's shared string begin and go on with.
+
+    The block is part of a rank: equal windows lie at equal offsets to their anchors, and one place that two nodes of a text hold isn't met twice.
+    """
     import xxhash
 
     name = xxhash.xxh64_intdigest
+    starts = [(k, x, c) for k, (x, c) in enumerate((x, c) for x in (0, SHARED - HALF) for c in (0, GRAM))]
     for batch in batches:
-        which, blocks, names = [], [], []
-        for k, (at, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            low = at & 255
-            high = low + (at >> 8 & 255)
-            for i in range(low // BLOCK, high // BLOCK + 1):
-                which.append(k)
-                blocks.append(i)
-                names.append(name(text[high - BLOCK * i : high - BLOCK * i + LENGTH - BLOCK + 1], i))
-        row = pa.array(which, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(blocks, pa.int32()), signed(names)], names=["core", "hull", "block", "name"])
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            which, blocks, names = [], [], ([], [], [], [])
+            for k, (at, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                low = at & 255
+                high = low + (at >> 8 & 255)
+                for block in range(low // BLOCK, high // BLOCK + 1):
+                    x = high - BLOCK * block
+                    own = text[x : x + SHARED]
+                    which.append(k)
+                    blocks.append(block)
+                    for j, a, c in starts:
+                        names[j].append(name(own[a + c : a + c + GRAM], block))
+            row = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(blocks, pa.int32()), *map(signed, names)], names=["node", "block", "a0", "a1", "b0", "b1"])
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, at, open, bytes, blocks) to (doc_id, digest, at, open, name, more): the windows of those blocks."""
+    """(node, at, open, bytes, blocks) to (node, place, open, first, second): the windows of those blocks by their place in the node, with the ranks of their two halves."""
     import xxhash
 
-    name = xxhash.xxh3_128_digest
+    name, half = xxhash.xxh64_intdigest, LENGTH - HALF
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
-            which, starts, names = [], [], []
-            for k, (at, text, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 4, 5)), strict=True)):
+            which, places, first, second = [], [], [], []
+            for k, (at, text, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 3, 4)), strict=True)):
                 low = at & 255
                 high = low + (at >> 8 & 255)
                 for block in blocks:
-                    for a in range(max(low, BLOCK * block), min(high, BLOCK * block + BLOCK - 1) + 1):
+                    for x in range(high - min(high, BLOCK * block + BLOCK - 1), high - max(low, BLOCK * block) + 1):
                         which.append(k)
-                        starts.append((at >> 16) + high - a)
-                        names.append(name(text[high - a : high - a + LENGTH]))
+                        places.append(x)
+                        first.append(name(text[x : x + HALF], 1))
+                        second.append(name(text[x + half : x + LENGTH], 2))
             row = pa.array(which, pa.int64())
-            two = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2) if names else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.array(starts, np.int64) << 16), part.column(3).take(row), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=[*KEY, "at", "open", "name", "more"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(places, pa.int32()), part.column(2).take(row), signed(first), signed(second)], names=["node", "place", "open", "first", "second"])
 
 
 def cut(text: bytes, ats: list[int] | None) -> tuple[int, int, bytes]:
@@ -225,48 +235,61 @@ def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def settle(df: DataFrame, *superseded: DataFrame) -> DataFrame:
-    """df, after the tables it came from are deleted and the shuffles that nothing uses any more are left to Spark's cleaner."""
-    for old in superseded:
-        forget(old)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    time.sleep(1)  # the cleaner works in the background
-    return df
+def more_than_one(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys of more than one row, as a table: joined from there, and not from the aggregate's own shuffle, a hot key's rows can be split between tasks."""
+    return written(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repeated")
 
 
-def tabled(df: DataFrame, label: str) -> DataFrame:
-    """written(), and the shuffles that made it gone before the next begin."""
-    return settle(written(df, label))
+def ranked(pairs: DataFrame) -> DataFrame:
+    """first, second, rank: the pairs of ranks that occur more than once, in sorted order and numbered by it. Other pairs' positions leave."""
+    return written(pairs.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").select("first", "second").orderBy("first", "second").select("first", "second", F.monotonically_increasing_id().alias("rank")), "ranks")
 
 
-def more_than_one(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys of more than one row, as a table: joined from there, and not from the aggregate's own shuffle, a hot key's rows can be split between tasks."""
-    return tabled(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repeated")
+def recurring_blocks(opened: DataFrame) -> DataFrame:
+    """node, blocks: those whose shared string occurs elsewhere too, by two rounds of doubling. opened: node, at, bytes."""
+    blocks = written(opened.select("node", "at", "bytes").mapInArrow(block_rows, "node long, block int, a0 long, a1 long, b0 long, b1 long"), "blocks")
+    pair = lambda df, a, b: df.select(F.col(a).alias("first"), F.col(b).alias("second"))
+    named = lambda ranks, a, b, rank: ranks.select(F.col("first").alias(a), F.col("second").alias(b), F.col("rank").alias(rank))
+    ranks = ranked(pair(blocks, "a0", "a1").unionByName(pair(blocks, "b0", "b1")))
+    doubled = blocks.join(named(ranks, "a0", "a1", "a"), ["a0", "a1"]).select("node", "block", "b0", "b1", "a")
+    doubled = written(doubled.join(named(ranks, "b0", "b1", "b"), ["b0", "b1"]).select("node", "block", "a", "b"), "doubled")
+    forget(blocks)
+    forget(ranks)
+    ranks = ranked(pair(doubled, "a", "b"))
+    alive = written(doubled.join(named(ranks, "a", "b", "rank"), ["a", "b"]).groupBy("node").agg(F.collect_set("block").alias("blocks")), "alive")
+    forget(doubled)
+    forget(ranks)
+    return alive
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, digest, at): stretches of windows of LENGTH bytes that each occur elsewhere too, and the tables that this reads. docs: doc_id, digest, text."""
     of_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, at long"
     every = written(docs.mapInArrow(node_rows, f"{of_id}, core long, hull long"), "nodes")
-    nodes = settle(written(every.join(more_than_one(every, "core"), "core"), "nodes"), every)
+    repeated = more_than_one(every, "core")
+    nodes = written(every.join(repeated, "core"), "nodes")
+    forget(every)
+    forget(repeated)
     first = F.min(F.struct("doc_id", "digest", "at"))
-    classes = tabled(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), first.alias("first")), "classes")
+    classes = written(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), first.alias("first")), "classes")
     done = nodes.join(classes.where("n > 1").select("core", "hull"), ["core", "hull"]).select(*KEY, "at")
     # Cores with several hulls, not all of them repeated, have open nodes.
-    disputed = classes.groupBy("core").agg(F.count("*").alias("hulls"), F.min("n").alias("least")).where("hulls > 1 AND least = 1").select("core")
-    going = classes.join(tabled(disputed, "disputed"), "core").select("first.*", F.struct("first.at", "core", "hull", (F.col("n") == 1).alias("open")).alias("node"))
+    disputed = written(classes.groupBy("core").agg(F.count("*").alias("hulls"), F.min("n").alias("least")).where("hulls > 1 AND least = 1").select("core"), "disputed")
+    going = classes.join(disputed, "core").select("first.*", F.struct("first.at", (F.col("n") == 1).alias("open")).alias("node"))
     by_doc = going.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list("node").alias("nodes"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
     # Rows equal in both are interchangeable: each gives its nodes, which are copies of each other.
     texts = docs.join(by_doc, same).select(*KEY, "text", "nodes")
-    opened = settle(written(texts.mapInArrow(fetched, f"{of_id}, core long, hull long, open boolean, bytes binary"), "open"))
-    blocks = tabled(opened.select("core", "hull", "at", "bytes").mapInArrow(block_rows, "core long, hull long, block int, name long"), "blocks")
-    alive = tabled(blocks.join(more_than_one(blocks, "name"), "name").groupBy("core", "hull").agg(F.collect_set("block").alias("blocks")), "alive")
-    asked = opened.join(alive, ["core", "hull"]).select(*KEY, "at", "open", "bytes", "blocks")
-    windows = settle(written(asked.mapInArrow(window_rows, f"{of_id}, open boolean, name long, more long"), "windows"), opened, blocks)
-    found = windows.where("open").join(more_than_one(windows, "name", "more"), ["name", "more"]).select(*KEY, "at")
-    return done.unionByName(found), [nodes, classes, windows]
+    opened = written(texts.mapInArrow(fetched, f"{of_id}, open boolean, bytes binary").withColumn("node", F.monotonically_increasing_id()), "open")
+    alive = recurring_blocks(opened)
+    asked = opened.join(alive, "node").select("node", "at", "open", "bytes", "blocks")
+    windows = written(asked.mapInArrow(window_rows, "node long, place int, open boolean, first long, second long"), "windows")
+    forget(alive)
+    repeated = more_than_one(windows, "first", "second")
+    found = windows.where("open").join(repeated, ["first", "second"]).groupBy("node").agg(F.collect_list("place").alias("places"))
+    start = lambda x: (F.shiftright("at", 16) + x) * 65536
+    found = found.join(opened.select(*KEY, "at", "node"), "node").select(*KEY, F.explode(F.transform("places", start)).alias("at"))
+    return done.unionByName(found), [nodes, classes, disputed, opened, windows, repeated]
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -275,7 +298,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
     windows, tables = repeated_windows(docs)
     stretches = windows.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list("at").alias("ats"))
-    stretches = settle(written(stretches, "removed"), *tables)
+    stretches = written(stretches, "removed")
+    for t in tables:
+        forget(t)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return docs.join(stretches, same, "left").select("doc_id", "text", "ats").mapInArrow(verdicts, schema)

@@ -198,6 +198,16 @@ def test_repeated_strings_between_edited_copies(docs, plain):
     assert plain(ss.substring_dedup(docs(rows))) == strings_brute(rows)
 
 
+def test_repeats_of_long_texts(docs, plain):
+    """Texts beyond CHUNK, with strings repeated across its bounds and in other texts."""
+    r = random.Random(11)
+    rnd = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    p, q = rnd(3000), rnd(450)
+    one = rnd(ss.CHUNK - 1500) + p + rnd(5000) + q + rnd(20)
+    rows = [(1, one), (2, rnd(100) + p[200:2600] + rnd(100)), (3, q[5:300]), (4, rnd(300)), (None, None)]
+    assert plain(ss.substring_dedup(docs(rows))) == strings_brute(rows)
+
+
 def test_texts_of_one_id_and_one_crc(docs, plain):
     """Different texts with the same id and CRC-32 are not cut at each other's places."""
     r = random.Random(5)
