@@ -3,12 +3,18 @@
 Fingerprints are made per document in Arrow batches; only (doc_id, fingerprint) goes on.
 Equal fingerprints are joined first, so all that follows works on distinct ones.
 
-Routing: two fingerprints that differ in at most 4 of 64 bits agree on at least one of 5
-blocks, so every fingerprint goes to 5 buckets, keyed by a block's number and bits. A
-bucket of more than TILE fingerprints is cut, by rank, into tiles, and every pair of tiles
-becomes a bucket of its own; nothing is dropped.
-
-Index: a bucket's fingerprints are sorted by Gray rank, so that neighbours share long runs
+The top of the hierarchy is distributed. Of n blocks of bits, two fingerprints that differ in
+at most 4 bits agree on n - 4 at least, so each fingerprint goes to one top node for each
+choice of n - 4 blocks, whose mask is those blocks and whose pattern their bits. n is 5 to 8, by the
+number of fingerprints, so that top nodes have some hundred members each: 5 nodes for each
+fingerprint up to 2 million of them, 15 up to 537 million, 35 up to 68 thousand million, then 70. A top
+node with more than FULL members, as skewed fingerprints make them, is split further: the bits that all
+of its members share are factored into its mask (by an aggregate), the other bits are cut in 5 blocks
+and its members go to a child for each, of which again one holds both of any two that are
+near. Children share ever more bits, and FULL distinct fingerprints can't share all but 11, so
+this ends; no two tiles of a node ever need to be compared, and nothing is dropped.
+
+Index: a top node's fingerprints, FULL at most, are sorted by Gray rank, so that neighbours share long runs
 of bits. Runs of FAN form nodes, runs of FAN nodes the nodes above. A node holds the bits
 that all below it share (mask) and their values (pattern); bits that its parent has are
 factored out, so a node adds only what its parent left open. A search goes down the
@@ -31,6 +37,7 @@ near_duplicates() and passed through by drop_near_copies().
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,7 +48,9 @@ from pyspark.sql import types as T
 from linequarry.functions.shipping import ship
 from linequarry.llm.common import forget, table, written
 
-WORDS, SEED, DISTANCE, FAN, TILE = 4, 42, 4, 16, 2048
+WORDS, SEED, DISTANCE, FAN, TOP, FULL = 4, 42, 4, 2, 64, 2048
+#: Top nodes are chosen to have so many members at most where fingerprints are evenly spread.
+EXPECTED = 512
 ONE = np.uint64(1)
 
 
@@ -91,58 +100,54 @@ class GrayIndex:
 
     def __init__(self, codes: np.ndarray, fan: int = FAN):
         self.codes, self.fan = codes[np.argsort(gray_rank(codes), kind="stable")], fan
+        self.met = 0  # pairs of codes that links() compared; all others were pruned above
         every, some = self.codes, self.codes
         self.levels = [(self.codes, np.full(len(codes), ~np.uint64(0)))]
-        while len(every) > fan:
+        while len(every) > max(fan, TOP):  # so few are compared each with each
             at = np.arange(0, len(every), fan)
             every, some = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
             self.levels.append((every, ~(every ^ some)))
 
-    def links(self, other: GrayIndex, distance: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of all pairs of codes within the distance, in portions; with itself, each pair once."""
-        own = self is other
-        height = min(len(self.levels), len(other.levels)) - 1
-        (pa, ma), (pb, mb) = self.levels[height], other.levels[height]
-        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(pa)), np.arange(len(pb)), indexing="ij"))
-        if own:
-            a, b = a[a <= b], b[a <= b]
-        both = ma[a] & mb[b]
-        stack = [(height, a, b, np.bitwise_count((pa[a] ^ pb[b]) & both).astype(np.int64), both)]
+    def links(self, distance: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all pairs of codes within the distance, each once, in portions."""
+        height = len(self.levels) - 1
+        p, m = self.levels[height]
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(p)), np.arange(len(p)), indexing="ij"))
+        a, b = a[a <= b], b[a <= b]
+        both = m[a] & m[b]
+        stack = [(height, a, b, np.bitwise_count((p[a] ^ p[b]) & both).astype(np.int64), both)]
         while stack:
             level, a, b, found, seen = stack.pop()
+            self.met += len(a) if not level else 0
             keep = found <= distance
             a, b, found, seen = a[keep], b[keep], found[keep], seen[keep]
             if not level:
-                if own:
-                    a, b = a[a < b], b[a < b]
+                a, b = a[a < b], b[a < b]
                 if len(a):
                     yield a, b
                 continue
-            (pa, ma), (pb, mb) = self.levels[level - 1], other.levels[level - 1]
-            step = max(1, most // (self.fan * other.fan))
+            p, m = self.levels[level - 1]
+            step = max(1, most // (self.fan * self.fan))
             offs = np.arange(self.fan)
             for i in range(0, len(a), step):
                 x = (a[i : i + step, None] * self.fan + offs)[:, :, None]
-                y = (b[i : i + step, None] * other.fan + offs)[:, None, :]
+                y = (b[i : i + step, None] * self.fan + offs)[:, None, :]
                 x, y = np.broadcast_arrays(x, y)
-                at = np.repeat(np.arange(i, min(i + step, len(a))), self.fan * other.fan)
+                at = np.repeat(np.arange(i, min(i + step, len(a))), self.fan * self.fan)
                 x, y = x.ravel(), y.ravel()
-                real = (x < len(pa)) & (y < len(pb)) & ((x <= y) if own else True)
+                real = (x < len(p)) & (y < len(p)) & (x <= y)
                 x, y, at = x[real], y[real], at[real]
-                both = ma[x] & mb[y]
-                stack.append((level - 1, x, y, found[at] + np.bitwise_count((pa[x] ^ pb[y]) & both & ~seen[at]), both))
+                both = m[x] & m[y]
+                stack.append((level - 1, x, y, found[at] + np.bitwise_count((p[x] ^ p[y]) & both & ~seen[at]), both))
 
 
-def forest(codes: np.ndarray, parts: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """(code, smallest code that it reaches) for each linked code. parts: 0 or 1; if both occur, only pairs across them are searched."""
+def forest(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(code, smallest code that it reaches) for each linked code."""
     values = np.unique(codes)
     up = np.arange(len(values))
-    if parts.min() != parts.max():
-        one, two = GrayIndex(codes[parts == 0]), GrayIndex(codes[parts == 1])
-    else:
-        one = two = GrayIndex(codes)
-    for x, y in one.links(two, distance):
-        a, b = np.searchsorted(values, one.codes[x]), np.searchsorted(values, two.codes[y])
+    index = GrayIndex(values)
+    for x, y in index.links(distance):
+        a, b = np.searchsorted(values, index.codes[x]), np.searchsorted(values, index.codes[y])
         while len(a):  # each pass hangs the larger root under the smaller
             while not np.array_equal(up, up[up]):
                 up = up[up]
@@ -159,24 +164,36 @@ def forest(codes: np.ndarray, parts: np.ndarray, distance: int = DISTANCE) -> tu
 # --- distributed search
 
 
-def blocks(distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of distance + 1 blocks of 64 bits."""
-    n = distance + 1
+def blocks(n: int) -> list[int]:
+    """Masks of n blocks of 64 bits."""
     edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def top_masks(n_codes: int, distance: int = DISTANCE, expected: int = EXPECTED) -> list[int]:
+    """The masks of the top nodes, for so many codes: all choices of n - distance of n blocks, of the least n that gives expected members a node."""
+    for n in range(distance + 1, 2 * distance + 1):
+        masks = [sum(some) for some in combinations(blocks(n), n - distance)]
+        if n_codes <= expected << min(m.bit_count() for m in masks):
+            break
+    return masks
 
 
-def bucket_forest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket (bucket, one, two), at most two tiles of codes each, to the edges of each bucket's forest."""
+def as_long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def node_edges(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, code) sorted by node, some FULL codes a node, to the edges of each node's forest."""
     held: list[pd.DataFrame] = []
 
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(pdf["code"].to_numpy().view(np.uint64), (pdf["tile"] != pdf["one"]).to_numpy().astype(int))
+    def edges(codes: np.ndarray) -> pd.DataFrame:
+        a, b = forest(codes.view(np.uint64))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     def split(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-        keys = pdf[["block", "bits", "one", "two"]].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        keys = pdf["node"].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         return [pdf.iloc[i:j] for i, j in zip([0, *cuts], [*cuts, len(pdf)], strict=True)]
 
     for pdf in rows:
@@ -184,29 +201,53 @@ def bucket_forest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         groups = split(pd.concat([*held, pdf], ignore_index=True))
         held = [groups.pop()]
-        if done := [edges(g) for g in groups if len(g) > 1]:
+        if done := [edges(g["code"].to_numpy()) for g in groups if len(g) > 1]:
             yield pd.concat(done)
     for g in held:
         if len(g) > 1:
-            yield edges(g)
+            yield edges(g["code"].to_numpy())
 
 
-def link_edges(codes: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
+def child_masks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, every, some) to (node, masks): the bits that a node's members don't share, more than DISTANCE, in DISTANCE + 1 blocks of about equal size."""
+    for pdf in rows:
+        masks = []
+        for varied in (pdf["every"] ^ pdf["some"]).to_numpy().view(np.uint64).tolist():
+            bits = [i for i in range(64) if varied >> i & 1]
+            edges = [len(bits) * i // (DISTANCE + 1) for i in range(DISTANCE + 2)]
+            masks.append([as_long(sum(1 << i for i in bits[a:b])) for a, b in zip(edges, edges[1:], strict=False)])
+        yield pd.DataFrame({"node": pdf["node"], "masks": masks})
+
+
+def split_full(routed: DataFrame, full: int) -> DataFrame:
+    """(node, code): the rows of nodes of at most so many members, and those of larger ones routed to children, down to as small ones. routed: a written table."""
+    done = None
+    while True:
+        sizes = routed.groupBy("node").agg(F.count("*").alias("n"), F.bit_and("code").alias("every"), F.bit_or("code").alias("some"))
+        hot = written(sizes.where(F.col("n") > full).select("node", "every", "some"), "full")
+        n = hot.count()
+        if not n:
+            return routed if done is None else done.unionByName(routed)
+        # Broadcast up to 50,000 rows of 16 bytes; beyond that Spark's own choice.
+        hint = F.broadcast if n <= 50_000 else lambda x: x
+        small = routed.join(hint(hot.select("node")), "node", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        masks = written(hot.mapInPandas(child_masks, "node long, masks array<long>"), "masks")
+        below = routed.join(hint(masks), "node").select("node", "code", F.posexplode("masks").alias("i", "mask"))
+        # Nodes are told apart by a hash: if two were one, more would be compared, and nothing lost.
+        routed = written(below.select(F.xxhash64("node", "i", F.col("code").bitwiseAND(F.col("mask"))).alias("node"), "code"), "routed")
+
+
+def link_edges(codes: DataFrame, distance: int = DISTANCE, full: int = FULL, expected: int = EXPECTED) -> DataFrame:
     """(a, b) with b < a unsigned: edges that connect all distinct codes within the distance. codes: distinct, column code."""
+    if full < 1 << distance:
+        raise ValueError("fingerprints that share all but a few bits must fit a node")
     ship(codes.sparkSession)
-    key = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col("code"), lo).bitwiseAND(F.lit((1 << w) - 1)).alias("bits")) for i, (lo, w) in enumerate(blocks(distance))]
-    routed = codes.select("code", F.explode(F.array(*key)).alias("k")).select("code", "k.*")
-    sizes = routed.groupBy("block", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    # Codes are dealt to a large bucket's tiles by hash, so that no code needs to know its rank.
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    # There are as many buckets as block values: 40,960 for distance 4, whatever the number of codes.
-    bounded = sum(1 << w for _, w in blocks(distance)) <= 50_000
-    dealt = routed.join(F.broadcast(sizes) if bounded else written(sizes, "sizes"), ["block", "bits"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("code"), "tiles").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = dealt.select("block", "bits", "code", "tile", other).withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other")).drop("other")
-    keys = ["block", "bits", "one", "two"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(bucket_forest, "a long, b long").distinct()
+    masks = [as_long(m) for m in top_masks(codes.count(), distance, expected)]
+    node = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("node")
+    routed = split_full(written(codes.select(node, "code"), "routed"), full)
+    dealt = routed.repartition("node").sortWithinPartitions("node")
+    return dealt.mapInPandas(node_edges, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, at_most: int = 60) -> DataFrame:

@@ -134,26 +134,51 @@ def test_index_finds_all_pairs(seed):
     base = r.integers(0, 1 << 63, 20, dtype=np.uint64)
     flips = np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, (3, 400), dtype=np.uint64), axis=0)
     a = np.unique(np.concatenate([r.choice(base, 400) ^ flips, r.integers(0, 1 << 63, 300, dtype=np.uint64)]))
-    b = np.unique(r.choice(a, 150) ^ (np.uint64(1) << r.integers(0, 64, 150, dtype=np.uint64)))
-    one, two = sh.GrayIndex(a, fan=4), sh.GrayIndex(b)
+    one = sh.GrayIndex(a, fan=4)
     assert np.array_equal(np.sort(one.codes), a)
-    brute = lambda x, y: {(int(p), int(q)) for p in x for q in y[np.bitwise_count(y ^ p) <= 4]}
-    own = {(int(one.codes[x]), int(one.codes[y])) for i, j in one.links(one, 4, most=256) for x, y in zip(i, j, strict=True)}
-    assert {frozenset(p) for p in own} == {frozenset(p) for p in brute(a, a) if p[0] != p[1]}
-    across = {(int(GA.codes[x]), int(two.codes[y])) for GA in [sh.GrayIndex(a)] for i, j in GA.links(two, 4) for x, y in zip(i, j, strict=True)}
-    assert across == brute(a, b)
-
-
-def test_large_buckets_are_cut_in_tiles(spark):
-    """With tiles of 8 codes the same components come out as with one bucket."""
-    r = np.random.default_rng(9)
-    codes = np.unique(r.integers(0, 1 << 63, 5, dtype=np.uint64).repeat(40) ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)))
-    df = spark.createDataFrame([(int(c.view(np.int64)),) for c in codes], "code long")
-    found = {r.node: r.root for r in sh.components(sh.link_edges(df, tile=8)).collect()}
+    brute = {frozenset((int(p), int(q))) for p in a for q in a[np.bitwise_count(a ^ p) <= 4] if p != q}
+    assert {frozenset((int(one.codes[x]), int(one.codes[y]))) for i, j in one.links(4, most=256) for x, y in zip(i, j, strict=True)} == brute
+
+
+def test_upper_nodes_prune():
+    """Of a full top node's pairs upper nodes prune nearly all that aren't near."""
+    r = np.random.default_rng(2)
+    codes = np.unique(r.integers(0, 1 << 51, sh.FULL, dtype=np.uint64))
+    index = sh.GrayIndex(codes)
+    list(index.links(4))
+    assert index.met < 0.05 * len(codes) * (len(codes) - 1) / 2
+
+
+def skewed(r, n):
+    """Codes around few centres, all alike in their upper half, and some that differ in few places."""
+    some = np.uint64(0xABCDEF01) << np.uint64(32) | r.integers(0, 1 << 32, 6, dtype=np.uint64).repeat(n)
+    for _ in range(3):
+        some = some ^ (np.uint64(1) << r.integers(0, 64, len(some), dtype=np.uint64))
+    return np.unique(np.concatenate([some, np.uint64(7) << np.uint64(50) | r.integers(0, 1 << 9, n, dtype=np.uint64)]))
+
+
+@pytest.mark.parametrize(("expected", "tops"), [(512, 5), (0, 70)])
+def test_full_nodes_are_split(spark, expected, tops):
+    """With at most 16 members a node, in 5 or 70 top nodes a code, the same components come out."""
+    codes = skewed(np.random.default_rng(9), 60)
+    assert len(sh.top_masks(len(codes), expected=expected)) == tops
+    df = spark.createDataFrame([(int(c.view(np.int64)),) for c in codes], "code long").coalesce(2)
+    found = {r.node: r.root for r in sh.components(sh.link_edges(df, full=16, expected=expected)).collect()}
     signed = [int(c.view(np.int64)) for c in codes]
     assert [found.get(c, c) for c in signed] == components_brute(codes, signed)
 
 
+def test_nodes_of_a_fingerprint_are_bounded():
+    """What one fingerprint costs grows by choices of blocks, not with the number of all."""
+    assert [len(sh.top_masks(n)) for n in (0, 10**5, 10**6, 10**7, 10**8, 10**9, 10**10, 10**12)] == [5, 5, 5, 15, 15, 35, 35, 70]
+    for n in (10, 10**7, 10**10):
+        masks = sh.top_masks(n)
+        r = random.Random(n)
+        for _ in range(300):
+            flips = sum(1 << i for i in r.sample(range(64), 4))
+            assert any(not flips & m for m in masks)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in sh.components(edges).collect()}
