@@ -20,15 +20,100 @@ def corpus(docs, sizes, null=None):
     return docs(rows + (null or []))
 
 
-def test_weights_reach_the_target(docs):
+def entropy(weights):
+    return -sum(x * math.log(x) for x in weights if x)
+
+
+@pytest.mark.parametrize("on_driver", [100_000, 0])
+def test_weights_reach_the_target(docs, monkeypatch, on_driver):
+    monkeypatch.setattr(mx, "DRIVER_SOURCES", on_driver)
+    monkeypatch.setattr(mx, "HALVINGS", 40)
     ids = corpus(docs, {"a": 900, "b": 90, "c": 9}).select("doc_id", "source", mx.n_tokens().alias("tokens"))
-    w, alpha = mx.weighted(ids, entropy_part=0.8, max_repeats=1e9)
+    w, fit = mx.weighted(ids, entropy_part=0.8, max_repeats=1e9)
     p = [r.weight for r in w.collect()]
-    assert abs(sum(p) - 1) < 1e-9 and 0 < alpha < 1
-    assert abs(-sum(x * math.log(x) for x in p) - 0.8 * math.log(3)) < 1e-6
-    w, alpha = mx.weighted(ids, entropy_part=1.0, max_repeats=3.0)
+    assert abs(sum(p) - 1) < 1e-9 and 0 < fit.alpha < 1 and fit.met
+    assert abs(entropy(p) - 0.8 * math.log(3)) < 1e-6
+    if not on_driver:
+        return
+    w, fit = mx.weighted(ids, entropy_part=1.0, max_repeats=3.0)
     assert max(r.quota / r.tokens for r in w.collect()) <= 3.01 and min(r.quota / r.tokens for r in w.collect()) >= 1
-    assert abs(max(r.quota / r.tokens for r in w.collect()) - 3) < 0.02
+    assert abs(max(r.quota / r.tokens for r in w.collect()) - 3) < 0.02 and not fit.met and fit.entropy < fit.target
+    w, fit = mx.weighted(ids, entropy_part=0.0, max_repeats=1e9, entropy_gain=0.25)
+    shares = [r.share for r in w.collect()]
+    assert abs(fit.entropy - (entropy(shares) + 0.25 * (math.log(3) - entropy(shares)))) < 1e-6
+    assert mx.weighted(ids, entropy_part=0.0, entropy_gain=0.0)[1].alpha == 1
+
+
+def test_a_budget_keeps_weights_and_repetitions(docs):
+    ids = corpus(docs, {"a": 900, "b": 90, "c": 9}).select("doc_id", "source", mx.n_tokens().alias("tokens"))
+    total = ids.agg(F.sum("tokens")).head()[0]
+    for budget in (total // 4, total, int(1.9 * total)):
+        rows = mx.weighted(ids, entropy_part=1.0, max_repeats=2.0, budget=budget)[0].collect()
+        assert abs(sum(r.quota for r in rows) - budget) <= len(rows)
+        assert all(abs(r.quota - budget * r.weight) <= 1 and r.quota <= 2 * r.tokens + 1 for r in rows)
+    with pytest.raises(ValueError, match="repetitions"):
+        mx.weighted(ids, max_repeats=2.0, budget=2 * total + 1)
+
+
+def chained(seed, *values):
+    """Spark's xxhash64 of ints (4 bytes), longs given as (value,) and strings, each hash the seed of the next."""
+    import xxhash
+
+    h = 42
+    for v in (seed, *values):
+        data = v.encode() if isinstance(v, str) else v[0].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h) if data is not None else h
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mixed_brute(rows, quotas, n_blocks, seed=mx.SEED):
+    """(doc_id, source, tokens, epoch) of a plain walk through each source's epochs, block by block."""
+    out = []
+    for s, quota in quotas.items():
+        own = [(i, n) for i, of, n in rows if of == s]
+        total, before, epoch = sum(n for _, n in own), 0, 0
+        while epoch == 0 or before < quota:
+            blocks = {}
+            for i, n in own:
+                blocks.setdefault(chained(seed, str(i)) % n_blocks[s], []).append((chained(seed, epoch, str(i)), i, n))
+            for b in sorted(blocks, key=lambda b: (chained(seed, epoch, (b,)), b)):
+                for _, i, n in sorted(blocks[b]):
+                    if before < quota or (epoch == 0 and quota >= total):
+                        out.append((i, s, n, epoch))
+                    before += n
+            epoch += 1
+            if not total:
+                break
+    return Counter(out)
+
+
+@pytest.mark.parametrize("budget", [None, 700])
+def test_copies_against_a_plain_walk(docs, monkeypatch, budget):
+    monkeypatch.setattr(mx, "BLOCK_TOKENS", 40)
+    ids = corpus(docs, {"a": 500, "b": 70, "c": 12}).select("doc_id", "source", mx.n_tokens().alias("tokens"))
+    of = {r.source: r for r in mx.weighted(ids, budget=budget)[0].collect()}
+    want = mixed_brute([tuple(r) for r in ids.collect()], {s: r.quota for s, r in of.items()}, {s: r.n_blocks for s, r in of.items()})
+    assert Counter((r.doc_id, r.source, r.tokens, r.epoch) for r in mx.mixed(ids, ["doc_id"], budget=budget).collect()) == want
+
+
+def test_query_against_a_plain_walk(spark, sf):
+    """The registered query mixes: rare sources repeat, and every copy is where the walk has it."""
+    ids = mx.table(spark, sf, "documents").select("doc_id", "source", mx.n_tokens().alias("tokens"))
+    of = {r.source: r for r in mx.weighted(ids)[0].collect()}
+    want = mixed_brute([tuple(r) for r in ids.collect()], {s: r.quota for s, r in of.items()}, {s: r.n_blocks for s, r in of.items()})
+    got = Counter((r.doc_id, r.source, r.tokens, r.epoch) for r in mx.op2_mixing(spark, sf).collect())
+    assert got == want and sum(got.values()) > len(set(ids.collect()))
+
+
+def test_extra_columns_of_any_name(docs):
+    names = ["row", "of_id", "of_source", "of_text", "times", "nth", "digest", "tokens", "block", "epoch", "quota", "__source", "a.b"]
+    df = corpus(docs, {"a": 50, "b": 5}).select("doc_id", "text", "source", *[F.lit("own").alias(n) for n in names])
+    out = mx.mixed_documents(df).collect()
+    assert len(out) > 55 and all(r["a.b"] == r["row"] == r["times"] == "own" for r in out)
+
+
+def test_very_long_text(docs):
+    assert mx.mixed_documents(docs([(1, "w " * 500_000, "en", "a"), (2, "w", "en", "b")])).count() >= 2
 
 
 def test_copies_realise_the_quotas(docs):
