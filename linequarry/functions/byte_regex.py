@@ -376,7 +376,8 @@ def to_java(node: object) -> str:
     if isinstance(node, Look):
         return LOOKS[node.kind]
     if isinstance(node, Concat):
-        return "".join(f"(?:{to_java(p)})" if isinstance(p, Alternation) else to_java(p) for p in node.parts)
+        nexts = (*node.parts[1:], None)
+        return "".join(f"(?:{to_java(p)})" if isinstance(p, Alternation) else to_java(p) + "+" * gives_nothing_back(p, n) for p, n in zip(node.parts, nexts, strict=True))
     if isinstance(node, Alternation):
         return "|".join(map(to_java, node.parts))
     if isinstance(node, Group):
@@ -386,6 +387,25 @@ def to_java(node: object) -> str:
     return (sub if isinstance(node.sub, (Class, Group)) or (isinstance(node.sub, Literal) and len(node.sub.data) == 1) else f"(?:{sub})") + count + ("" if node.greedy else "?")
 
 
+def firsts(node: object) -> frozenset | None:
+    """The bytes that a match begins with; None if that isn't known or it may be empty."""
+    if isinstance(node, Class):
+        return node.members
+    if isinstance(node, Literal):
+        return frozenset(node.data[:1]) or None
+    if isinstance(node, Group) or (isinstance(node, Repeat) and node.least > 0):
+        return firsts(node.sub)
+    return None
+
+
+def gives_nothing_back(node: object, follows: object) -> bool:
+    """Whether a greedy run of a class is followed by what can't begin in that class: a shorter run never helps, so Java needn't try one."""
+    if not (isinstance(node, Repeat) and node.greedy and isinstance(node.sub, Class)):
+        return False
+    then = firsts(follows)
+    return then is not None and not then & node.sub.members
+
+
 def children(node: object) -> tuple:
     return node.parts if isinstance(node, (Concat, Alternation)) else (node.sub,) if isinstance(node, (Group, Repeat)) else ()
 
@@ -424,7 +444,7 @@ def required_literal(node: object) -> bytes | None:
 
 
 def literal_context(node: object, literal: bytes) -> tuple[str, str] | None:
-    """Java classes of what must surround the literal: (left, right), each separator run and neighbour, or '' where nothing is known."""
+    """Java patterns of what must stand before and after the literal: neighbour and run of separators, or '' where nothing is known."""
 
     def inner(n: object, kind: type) -> object | None:
         while isinstance(n, Group) or (isinstance(n, Repeat) and n.least > 0):
@@ -442,5 +462,5 @@ def literal_context(node: object, literal: bytes) -> tuple[str, str] | None:
                 before, after = node.parts[:i][::-1] + (None, None), node.parts[i + 1 :] + (None, None)
                 left, right = pair(*before[:2]), pair(*after[:2])
                 if left or right:
-                    return (f"(?<={left[1]}{left[0]}{{1,255}})" if left else "", f"(?={right[0]}+{right[1]})" if right else "")
+                    return (f"{left[1]}{left[0]}{{1,255}}" if left else "", f"{right[0]}+{right[1]}" if right else "")
     return next(filter(None, (literal_context(c, literal) for c in children(node))), None)

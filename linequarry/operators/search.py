@@ -91,7 +91,9 @@ def decomposition(files: DataFrame, keys: list[str], plan: Plan, text: str = "te
     if not literal or len(literal) < LEAST_LITERAL:
         raise ValueError("the predicate has no required literal")
     left, right = rx.literal_context(rx.parse(p.value), literal) or ("", "")
-    gate = left + rx.to_java(rx.Literal(literal)) + right
+    # The literal comes first, so that what stands around it is only looked at where it is.
+    own = rx.to_java(rx.Literal(literal))
+    gate = own + (f"(?<={left}{own})" if left else "") + (f"(?={right})" if right else "")
     every = line_array(F.col(text))
     holds = p.gate(F.col(text))
     if holds is not None:  # files, then lines, without the literal are never looked at by a regular expression
