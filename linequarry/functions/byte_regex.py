@@ -377,7 +377,7 @@ def to_java(node: object) -> str:
         return LOOKS[node.kind]
     if isinstance(node, Concat):
         nexts = (*node.parts[1:], None)
-        return "".join(f"(?:{to_java(p)})" if isinstance(p, Alternation) else to_java(p) + "+" * gives_nothing_back(p, n) for p, n in zip(node.parts, nexts, strict=True))
+        return "".join(f"(?:{to_java(p)})" if isinstance(p, Alternation) else to_java(p) + "+" * gives_nothing_back(p, n) for p, n in zip(node.parts, nexts, strict=False))
     if isinstance(node, Alternation):
         return "|".join(map(to_java, node.parts))
     if isinstance(node, Group):
