@@ -2,9 +2,12 @@
 
 Each document gets counts over its whole text, and from them a vector of DIMENSIONS
 transformed statistics, kept as integers (thousandths), so that sums are exact and no
-result depends on the order of rows. For each language and source the estimate starts from
-medians and quartiles and then takes STEPS concentration steps: the SUBSET of documents
-nearest by Mahalanobis distance gives the next mean and covariance. Medians and the
+result depends on the order of rows. For each language and source the estimate has STARTS starts: the
+medians and quartiles, and the means and covariances of some ELEMENTS documents each, chosen by
+a hash of their vectors, of which one at least is likely to be free of outliers. Each start takes FIRST concentration
+steps: the SUBSET of documents nearest by Mahalanobis distance gives the next mean and covariance. The
+start whose subset then has the least determinant goes on, until no determinant changes by
+FALL of it (at most STEPS steps). Medians and the
 distance that bounds a subset are read off histograms (at most some hundred bins a group),
 so a group of any size is pre-aggregated before its shuffle and never meets in one task.
 A document is rejected beyond the chi-square quantile CUTOFF.
@@ -30,13 +33,15 @@ from pyspark.sql import functions as F
 
 from linequarry.llm.common import SPACE, table, text_or_empty, written
 
-DIMENSIONS, SUBSET, STEPS, LEAST, CUTOFF = 4, 0.75, 4, 20, 0.99999
+DIMENSIONS, SUBSET, STARTS, ELEMENTS, FIRST, STEPS, LEAST, CUTOFF = 4, 0.75, 4, 6, 2, 4, 20, 0.99999
 MIN_WORDS, WINDOW = 50, 3
 #: Least standard deviations, in thousandths: of log words, log mean length, log symbol rate, repeat rate.
 FLOORS = (250, 60, 250, 60)
 GROUP = ["lang", "source"]
 #: What an estimate is made of. level 0: a language and source, 1: a language, 2: all; what doesn't tell is null.
 POOL = ["level", *GROUP]
+EACH = [*POOL, "start"]
+FALL = 0.01
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -122,7 +127,16 @@ def start(rows: DataFrame) -> DataFrame:
     of = lambda i, c: F.max(F.when(F.col("i") == i, c))
     sd = F.sqrt(F.pow((F.col("q3") - F.col("q1")) * 10 / 1.349, 2) + F.pow(F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1), 2))
     wide = q.groupBy(*POOL).agg(F.max("n").alias("n"), *[of(i, F.col("q2") * 10.0 + 5).alias(f"m{i}") for i in range(DIMENSIONS)], *[of(i, sd).alias(f"l{i}{i}") for i in range(DIMENSIONS)])
-    return wide.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(DIMENSIONS) for j in range(i)])
+    return wide.select("*", F.lit(0).alias("start"), *[F.lit(0.0).alias(f"l{i}{j}") for i in range(DIMENSIONS) for j in range(i)])
+
+
+def elements(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The other starts: estimates from some ELEMENTS documents of each pool. sizes: POOL, n."""
+    xs = [F.col(f"x{i}") for i in range(DIMENSIONS)]
+    all_ = 1 << 32
+    near = [F.pmod(F.xxhash64(F.lit(k), *xs), F.lit(all_)) * F.col("n") < ELEMENTS * all_ for k in range(1, STARTS)]
+    picked = F.filter(F.array(*[F.when(test, k + 1) for k, test in enumerate(near)]), lambda k: k.isNotNull())
+    return moments(per_group(rows, sizes).select(*POOL, *xs, F.explode(picked).alias("start")), 1.0)
 
 
 def with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
@@ -134,22 +148,17 @@ def with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> Dat
             rest = rest - F.col(f"l{i}{j}") * F.col(f"z{j}")
         df = df.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMENSIONS)), F.col("z0") * F.col("z0"))
-    return df.withColumn("d2", d2).drop(*params.drop("n", *POOL).columns, *[f"z{i}" for i in range(DIMENSIONS)])
+    return df.withColumn("d2", d2).drop(*params.drop("n", *EACH).columns, *[f"z{i}" for i in range(DIMENSIONS)])
 
 
-def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance (factored) of the nearest SUBSET of each pool."""
-    near = with_distance(rows, params).withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
-    bound = quantiles(near.groupBy(*POOL, "bin").agg(F.count("*").alias("n")), POOL, {"bound": SUBSET})
-    held = per_group(near, bound.drop("n")).where("bin <= bound")
+def moments(held: DataFrame, scale: float) -> DataFrame:
+    """Mean and factored covariance of each pool's and start's rows."""
     x = lambda i: F.col(f"x{i}")
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
-    sums = held.groupBy(*POOL).agg(F.count("*").alias("n"), *[F.sum(x(i)).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(x(i) * x(j)).alias(f"s{i}{j}") for i, j in pairs])
-    q = chi2_quantile(SUBSET, DIMENSIONS)
-    consistency = SUBSET / chi2_cdf(q, DIMENSIONS + 2)
-    df = sums.select(*POOL, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMENSIONS)], *[f"s{i}{j}" for i, j in pairs])
+    sums = held.groupBy(*EACH).agg(F.count("*").alias("n"), *[F.sum(x(i)).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(x(i) * x(j)).alias(f"s{i}{j}") for i, j in pairs])
+    df = sums.select(*EACH, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMENSIONS)], *[f"s{i}{j}" for i, j in pairs])
     for i, j in pairs:  # Cholesky, row by row
-        v = consistency * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
+        v = scale * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
         v = v + float(FLOORS[i] ** 2) if i == j else v
         for k in range(j):
             v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
@@ -157,6 +166,41 @@ def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     return df.drop(*[f"s{i}{j}" for i, j in pairs])
 
 
+def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: mean and covariance (factored) of the nearest SUBSET of each pool, from each start."""
+    near = with_distance(rows, params).withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
+    bound = quantiles(near.groupBy(*EACH, "bin").agg(F.count("*").alias("n")), EACH, {"bound": SUBSET})
+    held = per_group(near, bound.drop("n"), keys=EACH).where("bin <= bound")
+    return moments(held, SUBSET / chi2_cdf(chi2_quantile(SUBSET, DIMENSIONS), DIMENSIONS + 2))
+
+
+def log_determinant() -> Column:
+    return sum((2 * F.log(f"l{i}{i}") for i in range(1, DIMENSIONS)), 2 * F.log("l00"))
+
+
+def least(params: DataFrame) -> DataFrame:
+    """Of each pool the start of the least determinant, the first of equals."""
+    names = [c for c in params.columns if c not in POOL]
+    best = params.groupBy(*POOL).agg(F.min_by(F.struct(*names), F.struct(F.round(log_determinant(), 9), "start")).alias("p"))
+    return best.select(*POOL, "p.*")
+
+
+def estimated(rows: DataFrame) -> DataFrame:
+    """The estimate of each pool. rows: POOL and the vector."""
+    first = written(start(rows), "estimate")
+    params = first.unionByName(elements(rows, first.select(*POOL, "n")))
+    for _ in range(FIRST):
+        params = written(concentrate(rows, params), "estimate")
+    params = written(least(params), "estimate")
+    for _ in range(STEPS):
+        fresh = written(concentrate(rows, params), "estimate")
+        fall = per_group(fresh.select(*POOL, log_determinant().alias("now")), params.select(*POOL, log_determinant().alias("before"))).agg(F.max(F.abs(F.col("before") - F.col("now")))).head()[0]
+        params = fresh
+        if (fall or 0) < FALL:
+            break
+    return params.drop("start")
+
+
 def quality(docs: DataFrame, cutoff: float = CUTOFF, pooled: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and distance (Mahalanobis, null without an estimate)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -165,9 +209,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, pooled: bool = False) -> Da
     xs = [f"x{i}" for i in range(DIMENSIONS)]
     fitting = per_group(rows.where("NOT base_failed").select(*GROUP, *xs), places.select(*GROUP, "pools"), keys=GROUP)
     fitting = written(fitting.select(F.explode("pools").alias("pool"), *xs).select("pool.*", *xs), "fitting")
-    params = written(start(fitting), "estimate")
-    for _ in range(STEPS):
-        params = written(concentrate(fitting, params), "estimate")
+    params = estimated(fitting)
     rows = per_group(rows, places.select(*GROUP, "judge"), keys=GROUP).drop(*GROUP).select("*", "judge.*").drop("judge")
     judged = with_distance(rows, params, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(cutoff, DIMENSIONS), F.lit(True))
