@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Where the tables of written() that still are there lie.
+made: list[str] = []
+
 #: A fixed value: Spark's setting by which an execution deletes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,14 +53,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    made.append(path)
     return out
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if at in made:
+        made.remove(at)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table made by written() that no result still reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._written_at)
+
+
+def written_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s rows as a table, and all other tables that it made on the way deleted."""
+    before = set(made)
+    out = written(make(), label)
+    for at in [x for x in made if x not in before and x != out._written_at]:
+        delete(out.sparkSession, at)
+    return out
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -4,8 +4,9 @@ A Misra-Gries summary (Spark's mergeable frequent-items sketch) of the text dige
 at most CANDIDATES digests that may be frequent. Those are counted exactly, with partial
 aggregation, and the ones held by at least one row in HEAVY_ONE_IN are the verified heavy
 hitters: their winners, at most HEAVY_ONE_IN rows, are broadcast and settle their copies
-map-side, unshuffled. The rows of all other digests, of which none has more than about
-that share, meet in one ordinary shuffle. A frequent digest that the summary misses is
+map-side, unshuffled. All other digests are shuffled: an aggregate, combined map-side, gives
+the winners of those that several rows share, and a join with their table settles those rows, so that
+no group, whatever its size, has to meet in one task. A frequent digest that the summary misses is
 still settled there; the summary only decides the way, never the result.
 
 Defined cases: a null text counts as empty, and all empty or white-space-only texts are
@@ -38,23 +39,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
     summary = rows.agg(F.expr(f"approx_top_k(text_sha256, {CANDIDATES}, {TRACKED})").alias("items"), F.count("*").alias("total"))
     candidates = summary.select("total", F.explode("items.item").alias("text_sha256"))
-    winners = written(
-        rows.join(F.broadcast(candidates), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(F.count("*").alias("group_size"), F.max("total").alias("total"), F.min(F.struct((-F.col("size")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
-        .where(F.col("group_size") * HEAVY_ONE_IN >= F.col("total"))
-        .select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")),
-        "winners",
-    )
+    best = F.min(F.struct((-F.col("size")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    settled = ["text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")]
+    frequent = rows.join(F.broadcast(candidates), "text_sha256").groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max("total").alias("total"), best)
+    winners = written(frequent.where(F.col("group_size") * HEAVY_ONE_IN >= F.col("total")).select(*settled), "winners")
     heavy = rows.join(F.broadcast(winners), "text_sha256").withColumn("kept", F.col("row") == F.col("keep_row"))
-    group = Window.partitionBy("text_sha256")
-    first = group.orderBy(F.desc("size"), F.asc_nulls_last("doc_id"), "row")
-    light = (
-        rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("keep_id", F.first("doc_id").over(first))
-        .withColumn("kept", F.row_number().over(first) == 1)
-        .withColumn("group_size", F.count("*").over(group))
-    )
+    light = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # From a table, so that the rows of one digest can be split between the join's tasks.
+    groups = written(light.groupBy("text_sha256").agg(F.count("*").alias("group_size"), best).where("group_size > 1").select(*settled), "groups")
+    alone = F.col("keep_row").isNull()
+    light = light.join(groups, "text_sha256", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256",
+    )
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     return heavy.select(*out).unionByName(light.select(*out))
 
