@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linequarry.llm import language_id, mixing, sentencepiece_unigram, simhash_dedup
-from linequarry.llm.common import table, written
+from linequarry.llm.common import forget, table, written_alone
 from linequarry.llm.exact_dedup import drop_exact_copies
 
 
@@ -49,7 +49,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        before, docs = docs, written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage")
+        if k:
+            forget(before)
