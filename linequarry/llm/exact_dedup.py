@@ -17,7 +17,7 @@ by exact_dedup() and passed through by drop_exact_copies().
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linequarry.llm.common import SPACE, table, text_or_empty, written
@@ -60,15 +60,19 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup() keeps, with all their columns."""
     names, dropped = docs.columns, exact_dedup(docs).where(~F.col("kept"))
     other = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    ids = lambda df, tag: df.select(F.col("doc_id").alias(f"__{tag}_id"), F.col("text_sha256").alias(f"__{tag}_digest")).distinct()
-    same = lambda tag: F.col("doc_id").eqNullSafe(F.col(f"__{tag}_id")) & (F.col("__digest") == F.col(f"__{tag}_digest"))
+    ids = lambda df: df.select("doc_id", "text_sha256").distinct()
+    # A row is one column here, so that no name of its own can meet ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("of_id"), digest().alias("of_text"), F.char_length(text_or_empty()).alias("size"))
+    same = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_text") == F.col("text_sha256"))
+    own = [F.col("row")[c].alias(c) for c in names]
     # A row that shares even its id with the row that stays can't be told from it by (id, digest).
-    repeated = written(ids(dropped.where(other), "again"), "repeated")
-    rest = docs.withColumn("__digest", digest()).join(ids(dropped.where(~other), "gone"), same("gone"), "left_anti")
-    once = rest.join(repeated, same("again"), "left_anti")
-    order = Window.partitionBy("doc_id", "__digest").orderBy(F.char_length(text_or_empty()).desc())
-    twice = rest.join(repeated, same("again"), "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return once.select(*names).unionByName(twice.select(*names)) if repeated.head(1) else once.select(*names)
+    repeated = written(ids(dropped.where(other)), "repeated")
+    rest = rows.join(ids(dropped.where(~other)), same, "left_anti")
+    once = rest.join(repeated, same, "left_anti").select(*own)
+    if not repeated.head(1):
+        return once
+    twice = rest.join(repeated, same, "left_semi").groupBy("of_id", "of_text").agg(F.max_by("row", "size").alias("row"))
+    return once.unionByName(twice.select(*own))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
