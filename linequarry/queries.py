@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linequarry.functions import render
 from linequarry.operators import inspect as ins
 from linequarry.operators import lines as ln
+from linequarry.operators import probes
 from linequarry.operators import search as se
 from linequarry.plans.compat import lower_patterns
 from linequarry.plans.expression import parse
@@ -182,6 +183,28 @@ by_file("loop_summary", lambda f: se.loop_summary(f.select(F.col("n_chars").cast
        v[len(v) // 2 + 1] AS median, v[len(v)] AS max FROM (SELECT list(CAST(n_chars AS DOUBLE) ORDER BY n_chars) AS v FROM documents)""")
 
 
+# --- probes
+
+
+def alternation_sql(literals: list[str]) -> str:
+    """Literals of which none can begin inside another, so that ranges find what the whole has."""
+    longest = max(map(len, literals))
+    per = ", ".join([f"{found('|'.join(literals))} AS whole", "length(text) AS size",
+                     " + ".join(f"(length(text) - length(replace(text, {q(x)}, ''))) // {len(x)}" for x in literals) + " AS alone",
+                     *[f"list_sum(list_transform(range(1, {n + 1}), lambda k: least({longest - 1}, length(text) - (k * length(text)) // {n}))) AS more_{n}" for n in probes.RANGES]])
+    row = lambda name, n, read: f"SELECT '{name}' AS variant, CAST(sum({n}) AS BIGINT) AS n_occurrences, CAST(sum({read}) AS BIGINT) AS read_chars, sum({n}) = sum(whole) AS comparable FROM c"
+    rows = [*[row(x, "whole", "size") for x in ("whole", "gated", "lines")], row("literal_sum", "alone", f"size * {len(literals)}"), *[row(f"ranges_{n}", "whole", f"size + more_{n}") for n in probes.RANGES]]
+    return f"WITH c AS (SELECT {per} FROM documents) " + " UNION ALL ".join(rows)
+
+
+for name, literals in {"alternation_probe": ["Apache", "MIT", "GNU"], "alternation_probe_nested": ["there", "the", "th"]}.items():
+    by_file(name, lambda f, literals=literals: probes.alternation(f, literals), alternation_sql(literals))
+SHORT_WORDS = r"\w{5}\s+\w{5}\s+\w{5}"
+by_file("no_literal_probe", lambda f: probes.no_literal(f, SHORT_WORDS), f"""WITH c AS (SELECT {found(SHORT_WORDS)} AS n FROM documents)
+SELECT unnest(['all', 'first_then_rest', 'test_then_all']) AS variant, CAST(sum(n) AS BIGINT) AS n FROM c
+UNION ALL SELECT 'test', count(*) FILTER (n > 0) FROM c""")
+
+
 # --- windows and context
 
 window_sql = lambda test: f"SELECT doc_id, CAST(line AS BIGINT) AS line, text FROM ({lines_sql()}) WHERE {test}"
