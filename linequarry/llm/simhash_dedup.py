@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linequarry.functions.shipping import ship
-from linequarry.llm.common import forget, table, written
+from linequarry.llm.common import forget, table, written, written_alone
 
 WORDS, SEED, DISTANCE, FAN, TOP, FULL = 4, 42, 4, 2, 64, 2048
 #: Top nodes are chosen to have so many members at most where fingerprints are evenly spread.
@@ -274,7 +274,8 @@ def judged(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     prints = written(docs.select("doc_id", fingerprints("text").alias("code")), "prints")
     codes = prints.groupBy("code").agg(F.min("doc_id").alias("least_id"))
     codes = written(codes, "codes")
-    found = components(link_edges(codes.select("code"), distance))
+    # The routed fingerprints, the edges and the rounds' labels go once their outcome is a table.
+    found = written_alone(lambda: components(link_edges(codes.select("code"), distance)), "linked")
     rooted = codes.join(found, F.col("code") == F.col("node"), "left").select("code", "least_id", F.coalesce("root", "code").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = rooted.join(least, "root").select("code", "root", "component_id")
