@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linequarry.llm.common import SPACE, table, text_or_empty, written
+from linequarry.llm.common import SPACE, table, text_or_empty, written, written_alone
 
 DIMENSIONS, SUBSET, STARTS, ELEMENTS, FIRST, STEPS, LEAST, CUTOFF = 4, 0.75, 4, 6, 2, 4, 20, 0.99999
 MIN_WORDS, WINDOW = 50, 3
@@ -205,11 +205,12 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, pooled: bool = False) -> Da
     """doc_id, the base counts, base_failed, kept, and distance (Mahalanobis, null without an estimate)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = written(counts(docs).select("*", failed.alias("base_failed"), *vector()), "counts")
-    places = written(placed(rows, pooled), "places")
+    places = written_alone(lambda: placed(rows, pooled), "places")
     xs = [f"x{i}" for i in range(DIMENSIONS)]
     fitting = per_group(rows.where("NOT base_failed").select(*GROUP, *xs), places.select(*GROUP, "pools"), keys=GROUP)
-    fitting = written(fitting.select(F.explode("pools").alias("pool"), *xs).select("pool.*", *xs), "fitting")
-    params = estimated(fitting)
+    fitting = fitting.select(F.explode("pools").alias("pool"), *xs).select("pool.*", *xs)
+    # The fitting vectors and the steps' estimates go once the last estimate is a table of its own.
+    params = written_alone(lambda: estimated(written(fitting, "fitting")), "params")
     rows = per_group(rows, places.select(*GROUP, "judge"), keys=GROUP).drop(*GROUP).select("*", "judge.*").drop("judge")
     judged = with_distance(rows, params, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(cutoff, DIMENSIONS), F.lit(True))
